@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
@@ -15,12 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.topk import top_k
+
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    rows = table(spark, sf_dir, "embeddings").filter(finite).select("vec_id", F.transform(x, lambda c: F.floor(c * 64)).alias("vector"))
+    return top_k(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
+def held_out(folds: int) -> Column:
+    """Whether the CRC-32 of the doc_id as text leaves 2; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == 2
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.language import identify, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(4))
+    model = train(docs.filter("not held_out"))
+    return identify(docs, model).withColumn("held_out", held_out(4)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.sharding import assign
 
@@ -50,10 +72,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup)
+    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+        )
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
