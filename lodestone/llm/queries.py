@@ -71,8 +71,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffixes import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup)
+    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op10_suffix_array_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
