@@ -71,6 +71,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.lattice import score
+
+    return score(table(spark, sf_dir, "documents").withColumn("held_out", held_out(7)), public_tokenizers.path(WORD_BPE))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.suffixes import remove_repeats
 
@@ -80,7 +86,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
