@@ -43,6 +43,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).withColumn("held_out", held_out(4)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.sharding import assign
 
@@ -86,7 +92,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
