@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import scratch
 
@@ -129,8 +130,8 @@ def pieces(texts: list[bytes], skip: set[int]) -> Iterator[Piece]:
         yield Piece(*held)
 
 
-def read(group: pa.Table, notes: pa.Table) -> tuple[np.ndarray, list[bytes], set[int], list[tuple[int, bytes]]]:
-    """Ids and texts in a fixed order, places of the texts that an earlier one stands for, and the other notes as (number, data)."""
+def read(group: pa.Table, notes: pa.Table) -> tuple[np.ndarray, list[bytes], set[int], list[tuple[int, bytes]], list[int]]:
+    """Ids and texts in a fixed order, places of the texts that an earlier one stands for, the other notes as (number, data), and the order."""
     ids, texts = group.column("doc_id").to_pylist(), group.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     doc, texts = np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]
@@ -142,7 +143,7 @@ def read(group: pa.Table, notes: pa.Table) -> tuple[np.ndarray, list[bytes], set
         else:
             rest.append((number, data))
     skip = {k for k, i in enumerate(order) if (ids[i], sha[i]) in copies}
-    return doc, texts, skip, rest
+    return doc, texts, skip, rest, order
 
 
 def same_runs(*keys: np.ndarray) -> np.ndarray:
@@ -213,29 +214,39 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if window != WINDOW:
         raise ValueError(f"window must be {WINDOW}")
+    return _find(docs, [])
+
+
+def _find(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """remove_repeats(), and with the columns ``carry`` in a struct named rest."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    carried = [F.struct(*carry).alias("rest")] if carry else []
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *carried)
+    carried = ["rest"] if carry else []
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
     parts = scratch.partitions(spark)
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
     # bucketed by chunk: the texts are shuffled once, each later pass brings only its notes to them
     name = f"lodestone_texts_{uuid.uuid4().hex}"
-    given = rows.filter("doc_id is not null").select(chunk, "doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha")).repartition(parts, "chunk")
+    given = rows.filter("doc_id is not null").select(chunk, "doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha"), *carried).repartition(parts, "chunk")
     given.write.bucketBy(parts, "chunk").option("path", f"{scratch.folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     first = scratch.keep(texts.groupBy("sha").agg(F.min("doc_id").alias("first_id")), "first")
     copies = texts.select("chunk", "doc_id", "sha").join(first, "sha").filter("doc_id > first_id").select("chunk", F.col("doc_id").alias("number"), F.col("sha").alias("data"), F.lit(True).alias("copy"))
     copies = scratch.keep(copies.distinct(), "copies")
 
-    def with_notes(more: DataFrame | None, function, schema: str, some: DataFrame = texts) -> DataFrame:
+    bare = texts.drop("rest")
+
+    def with_notes(more: DataFrame | None, function, schema: str | T.StructType, some: DataFrame = bare) -> DataFrame:
         notes = copies if more is None else copies.unionByName(more)
         return some.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(function, schema)
 
     hash_bits = max(2 * parts, total // 14 * 4 // BUCKET).bit_length()
 
     def hashes(group: pa.Table, notes: pa.Table) -> pa.Table:
-        doc, texts, skip, _ = read(group, notes)
+        doc, texts, skip, _, _ = read(group, notes)
         found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for piece in pieces(texts, skip):
             found.append(piece.hash[piece.anchors])
@@ -278,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def suffixes(group: pa.Table, notes: pa.Table) -> tuple:
         """All segments of a chunk that may be repeated: bytes, anchor's place in it, document's place, id, first byte, windows."""
-        doc, texts, skip, rest = read(group, notes)
+        doc, texts, skip, rest, _ = read(group, notes)
         wanted = [np.frombuffer(data, "<u4").astype(np.uint64) | np.uint64(number) << np.uint64(32) for number, data in rest]
         known = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         segments: list[bytes] = []
@@ -302,7 +313,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         rows = np.flatnonzero(stay)[::EVERY].tolist()
         return pa.table({"key": pa.array([segments[i][lead[i] : lead[i] + GRAM] for i in rows], pa.binary())})
 
-    some = with_notes(masks, sample, "key binary", texts.filter(F.col("chunk") < SAMPLED))
+    some = with_notes(masks, sample, "key binary", bare.filter(F.col("chunk") < SAMPLED))
     keys = np.sort(np.array([bytes(r.key) for r in some.collect()], f"S{GRAM}"))  # at most SAMPLED chunks' keys
     ranges = max(2 * parts, len(keys) * EVERY * chunks // min(chunks, SAMPLED) * 80 // BUCKET)
     splitters = keys[np.linspace(0, len(keys) - 1, ranges + 1).astype(int)[1:-1]] if len(keys) else keys
@@ -388,12 +399,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     notes = marks.filter("window is null").select("chunk", F.lit(-1).cast("long").alias("number"), "data", "copy").unionByName(late)
 
     def cut(group: pa.Table, notes: pa.Table) -> pa.Table:
-        doc, texts, skip, rest = read(group, notes)
+        doc, texts, skip, rest, order = read(group, notes)
         spans = [np.frombuffer(data, "<u4").astype(np.int64).reshape(-1, 3) for number, data in rest if number < 0]
         spans.append(np.array([(number, int(data), WINDOW) for number, data in rest if number >= 0], np.int64).reshape(-1, 3))
         place, start, length = np.concatenate(spans).T
-        order = np.lexsort((start, place))
-        place, start, end = place[order], start[order], (start + length)[order]
+        by = np.lexsort((start, place))
+        place, start, end = place[by], start[by], (start + length)[by]
         at = np.searchsorted(place, np.arange(len(texts) + 1)).tolist()
         found, kept = [], []
         for i, text in enumerate(texts):
@@ -409,9 +420,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             found.append([{"start": a, "end": b} for a, b in own])
             kept.append(b"".join(text[a:b] for a, b in zip([0, *(b for _, b in own)], [*(a for a, _ in own), len(text)], strict=True)))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_bytes": pa.array(map(len, texts), pa.int64()), "spans": pa.array(found, span), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_bytes": pa.array(map(len, texts), pa.int64()), "spans": pa.array(found, span), "kept": pa.array(kept, pa.binary())} | ({"rest": group.column("rest").take(pa.array(order))} if carried else {}))
 
-    result = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
-    out = with_notes(notes, cut, result)
-    nameless = rows.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.from_json(F.lit("[]"), "array<struct<start: long, end: long>>").alias("spans"), F.col("text").alias("kept"))
+    result = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    if carried:
+        result = result.add(rows.schema["rest"])
+    out = with_notes(notes, cut, result, texts)
+    nameless = rows.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.from_json(F.lit("[]"), "array<struct<start: long, end: long>>").alias("spans"), F.col("text").alias("kept"), *carried)
     return out.unionByName(nameless)
+
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, text without what remove_repeats() finds, and n_chars (if there is such a column) to match.
+
+    A character of which only some bytes are removed goes as a whole.  A null text becomes an empty one.
+    """
+    left = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("\ufffd"), F.lit("")))
+    out = _find(docs, [c for c in docs.columns if c != "text"]).withColumn("_text", text)
+    own = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
+    return out.select(*[own.get(c, F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
