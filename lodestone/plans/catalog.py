@@ -4,7 +4,340 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lodestone.functions import text as tx
+from lodestone.functions.vectors import cosine
+from lodestone.operators import ranking, relations, search
+from lodestone.plans.views import CASES_SQL, EVIDENCE_SQL, cases, evidence
+from lodestone.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A time that stands for now in every report.
+NOW = "2024-01-20 00:00:00"
+TERMS = ["tion", "with", "that", "from", "this"]
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query with its SQL, in which {cases} and {evidence} stand for the views."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.replace("{cases}", f"({CASES_SQL})").replace("{evidence}", f"({EVIDENCE_SQL})")
+        return f
+
+    return add
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('fr', 'de') AND n_chars > 500")
+def scan_filter_project(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("lang IN ('fr', 'de') AND n_chars > 500").select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").filter("o_orderkey = 7").select("o_orderkey", "o_orderstatus", "o_totalprice").limit(1)
+
+
+@query("""
+    SELECT id, court, year, CAST(row_number() OVER (PARTITION BY section ORDER BY CASE court WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END, year DESC, id) AS INTEGER) AS rank, section
+    FROM {cases} c WHERE verified IN (1, 2) QUALIFY row_number() OVER (PARTITION BY section ORDER BY CASE court WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END, year DESC, id) <= 5
+""")
+def court_rank_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = cases(spark, d).filter(F.col("verified").isin(1, 2)).select("id", "court", "year", "section")
+    court = F.when(F.col("court") == "A", 0).when(F.col("court") == "B", 1).otherwise(2)
+    return ranking.top_per_group(rows, "section", 5, court, F.col("year").desc(), F.col("id"))
+
+
+@query("SELECT id, section, court FROM {cases} c WHERE contains(lower(text), 'ation') OR contains(lower(section), 'src1')")
+def multi_col_contains(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).filter(F.lower("text").contains("ation") | F.lower("section").contains("src1")).select("id", "section", "court")
+
+
+@query("""
+    SELECT section, count(*) AS total, count(*) FILTER (WHERE court = 'A') AS court_a, count(*) FILTER (WHERE court = 'B') AS court_b,
+           count(*) FILTER (WHERE court NOT IN ('A', 'B')) AS others FROM {cases} c GROUP BY section
+""")
+def coverage_pivot(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("court")
+    return cases(spark, d).groupBy("section").agg(F.count("*").alias("total"), F.count_if(c == "A").alias("court_a"), F.count_if(c == "B").alias("court_b"), F.count_if(~c.isin("A", "B")).alias("others"))
+
+
+@query("SELECT section, court, count(*) AS n FROM {cases} c WHERE section <> '' GROUP BY section, court ORDER BY n DESC, section, court LIMIT 50")
+def two_key_top50(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).filter("section <> ''").groupBy("section", "court").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "section", "court").limit(50)
+
+
+@query("SELECT coalesce(lang, 'none') AS lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY coalesce(lang, 'none')")
+def source_breakdown_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+
+
+@query("SELECT section, count(*) AS n, round(100.0 * avg(win), 4) AS share FROM {cases} c WHERE win IS NOT NULL GROUP BY section")
+def section_share(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).filter("win IS NOT NULL").groupBy("section").agg(F.count("*").alias("n"), F.round(F.avg("win") * 100, 4).alias("share"))
+
+
+@query("""
+    SELECT count(*) AS rows_all, count(*) FILTER (WHERE status = 'available') AS available, count(*) FILTER (WHERE mandatory) AS mandatory, count(DISTINCT case_id) AS cases FROM {evidence} e
+""")
+def dashboard_counts(spark: SparkSession, d: str) -> DataFrame:
+    return evidence(spark, d).agg(F.count("*").alias("rows_all"), F.count_if(F.col("status") == "available").alias("available"), F.count_if("mandatory").alias("mandatory"), F.countDistinct("case_id").alias("cases"))
+
+
+@query("""
+    SELECT n.n_name AS name, count(o.o_orderkey) AS orders, CASE WHEN count(o.o_orderkey) = 0 THEN 'gap' WHEN count(o.o_orderkey) < 20 THEN 'partial' ELSE 'covered' END AS coverage
+    FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY n.n_name
+""")
+def coverage_with_zero_groups(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("k"))
+    counts = table(spark, d, "customer").join(orders, "c_custkey").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum("k").alias("k"))
+    n = F.coalesce("k", F.lit(0))
+    coverage = F.when(n == 0, "gap").when(n < 20, "partial").otherwise("covered")
+    return table(spark, d, "nation").join(counts, "n_nationkey", "left").select(F.col("n_name").alias("name"), n.alias("orders"), coverage.alias("coverage"))
+
+
+@query(f"""
+    SELECT event_type AS source, count(*) AS total, count(*) FILTER (WHERE ts + INTERVAL 7 DAY > TIMESTAMP '{NOW}') AS active, count(*) FILTER (WHERE ts + INTERVAL 7 DAY <= TIMESTAMP '{NOW}') AS expired
+    FROM events GROUP BY event_type
+""")
+def cache_stats(spark: SparkSession, d: str) -> DataFrame:
+    alive = F.col("ts") + F.expr("INTERVAL 7 DAYS") > F.lit(NOW).cast("timestamp_ntz")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("total"), F.count_if(alive).alias("active"), F.count_if(~alive).alias("expired"))
+
+
+_HITS = " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END" for t in TERMS)
+_NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * x)))"
+
+
+@query(f"""
+    WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY h DESC, doc_id) AS rank FROM (SELECT doc_id, {_HITS} AS h FROM documents) QUALIFY rank <= 100),
+    q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0),
+    s AS (SELECT vec_id AS doc_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / ({_NORM.format('embedding')} * {_NORM.format('qe')}), 6) AS v FROM embeddings, q),
+    b AS (SELECT doc_id, row_number() OVER (ORDER BY v DESC, doc_id) AS rank FROM s QUALIFY rank <= 100)
+    SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY rrf_score DESC, doc_id LIMIT 10
+""")
+def rrf_two_lists(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("text")
+    hits = sum((F.when(low.contains(t), 1).otherwise(0) for t in TERMS), F.lit(0))
+    a = ranking.ranked(table(spark, d, "documents"), "doc_id", hits, 100)
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)  # one row
+    near = vectors.crossJoin(F.broadcast(asked)).select(F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("v"))
+    b = ranking.ranked(near, "doc_id", F.col("v"), 100)
+    fused = ranking.rrf([a, b], "doc_id").select("doc_id", F.round("rrf_score", 9).alias("rrf_score"))
+    return fused.orderBy(F.col("rrf_score").desc(), "doc_id").limit(10)
+
+
+@query("SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1")
+def best_per_key(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.best_per_key(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], "c_acctbal", "c_custkey")
+
+
+@query("SELECT text, doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def first_per_key(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.first_per_key(table(spark, d, "documents").select("text", "doc_id", "source"), ["text"], "doc_id")
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_totalprice, CAST(row_number() OVER w AS INTEGER) AS rank FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) QUALIFY row_number() OVER w <= 25")
+def topk_per_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.top_per_group(table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), "o_orderpriority", 25, F.col("o_totalprice").desc(), F.col("o_orderkey"))
+
+
+@query("""
+    WITH t AS (SELECT doc_id, 0 AS tier FROM documents WHERE lang = 'es' UNION ALL SELECT doc_id, 1 FROM documents WHERE n_chars > 3000 UNION ALL SELECT doc_id, 2 FROM documents)
+    SELECT doc_id, CAST(min(tier) AS INTEGER) AS tier FROM t GROUP BY doc_id ORDER BY tier, doc_id LIMIT 300
+""")
+def waterfall_fill(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return ranking.waterfall([docs.filter(c).select("doc_id") for c in ("lang = 'es'", "n_chars > 3000", "true")], "doc_id", 300, F.col("doc_id")).select("doc_id", "tier")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
+def anti_new_rows(spark: SparkSession, d: str) -> DataFrame:
+    bought = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return relations.new_rows(table(spark, d, "customer"), bought, ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def semi_lookup(spark: SparkSession, d: str) -> DataFrame:
+    large = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").join(large, "p_partkey", "left_semi").select("p_partkey", "p_brand")
+
+
+@query("""
+    SELECT section, name, count(*) AS total, count(*) FILTER (WHERE outcome = 'accepted') AS accepted, count(*) FILTER (WHERE outcome = 'rejected') AS rejected, count(*) FILTER (WHERE outcome = 'partial') AS partial
+    FROM {evidence} e WHERE outcome IS NOT NULL GROUP BY section, name
+""")
+def feedback_stats(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("outcome")
+    return evidence(spark, d).filter(o.isNotNull()).groupBy("section", "name").agg(F.count("*").alias("total"), *[F.count_if(o == k).alias(k) for k in ("accepted", "rejected", "partial")])
+
+
+@query("""
+    SELECT CAST(l AS BIGINT) AS doc_id, CAST(p AS INTEGER) AS pos, d.lang AS lang FROM (SELECT unnest([5, 3, 8, 1, 100]) AS l, unnest([0, 1, 2, 3, 4]) AS p) JOIN documents d ON d.doc_id = l
+""")
+def lookup_in_order(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.range(1).select(F.array(*[F.lit(x).cast("long") for x in (5, 3, 8, 1, 100)]).alias("ids"))
+    return relations.in_order(ids, table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@query("""
+    SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 10 = 0 OR value > 100 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+""")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").filter("event_id % 10 = 0 OR value > 100").withColumn("version", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "value", "version")
+    return relations.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 <> 0"), "user_id", "version").drop("version")
+
+
+@query("SELECT s_suppkey, s_name, 'open' AS status, CAST(0 AS INTEGER) AS boost FROM supplier")
+def schema_evolve(spark: SparkSession, d: str) -> DataFrame:
+    return relations.evolve(table(spark, d, "supplier").select("s_suppkey", "s_name"), {"status": "open", "boost": 0})
+
+
+@query("""
+    WITH e AS (SELECT * FROM {evidence} x), g AS (SELECT case_id, max(CASE WHEN status = 'available' AND section = 'purchase' THEN 1 ELSE 0 END) AS some FROM e GROUP BY case_id)
+    SELECT e.id, e.case_id, e.section FROM e JOIN g ON e.case_id = g.case_id WHERE (e.status = 'available' AND e.section = 'purchase') OR g.some = 0
+""")
+def section_filter_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return relations.with_fallback(evidence(spark, d), "case_id", "status = 'available' AND section = 'purchase'").select("id", "case_id", "section")
+
+
+@query("""
+    WITH s AS (SELECT CAST(o_orderkey AS BIGINT) AS query, CAST(0 AS BIGINT) AS pos, o_custkey % 100 AS node FROM orders WHERE o_orderkey % 50 = 0),
+    e AS (SELECT l_partkey % 100 AS src, l_returnflag AS kind, min(l_orderkey) AS pos, l_suppkey + 1000 AS dst FROM lineitem GROUP BY l_partkey % 100, l_returnflag, l_suppkey),
+    f AS (SELECT query, node, 0 AS step, pos AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM s
+          UNION ALL SELECT s.query, e.dst, 1, s.pos, CASE e.kind WHEN 'R' THEN 1 ELSE 2 END, e.pos FROM s JOIN e ON e.src = s.node WHERE e.kind IN ('R', 'A')),
+    m AS (SELECT query, node, min({'step': step, 'a': a, 'b': b, 'c': c}) AS place_at FROM f GROUP BY query, node)
+    SELECT query, node, CAST(row_number() OVER (PARTITION BY query ORDER BY place_at, node) AS INTEGER) AS place FROM m
+""")
+def graph_expand(spark: SparkSession, d: str) -> DataFrame:
+    starts = table(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("query"), F.lit(0).alias("pos"), (F.col("o_custkey") % 100).alias("node"))
+    edges = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 100).alias("src"), F.col("l_returnflag").alias("kind"), (F.col("l_suppkey") + 1000).alias("dst")).agg(F.min("l_orderkey").alias("pos"))
+    return relations.expand_graph(starts, edges, ["R", "A"])
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(("the", "with", "und")))
+_DF = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(3))
+_BM25 = " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * n / mean))" for i in range(3))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, {_TF} FROM t), s AS (SELECT count(*) AS docs, avg(n) AS mean, {_DF} FROM c)
+    SELECT doc_id, round({_BM25}, 6) AS score FROM c, s WHERE tf0 > 0 OR tf1 > 0 OR tf2 > 0
+""")
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25(table(spark, d, "documents"), ["the", "with", "und"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+    WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 3)
+    SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / ({_NORM.format('embedding')} * {_NORM.format('qe')}), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 20
+""")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.filter("vec_id = 3").first()  # one vector
+    near = search.neighbours(vectors, list(asked.embedding)).select("vec_id", F.round("score", 6).alias("score"))
+    return near.orderBy(F.col("score").desc(), "vec_id").limit(20)
+
+
+@query("""
+    SELECT doc_id, CAST((CASE WHEN contains(lower(text), 'heon') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(source), 'heon') THEN 5 ELSE 0 END)
+        + (CASE WHEN contains(lower(text), 'src3') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(source), 'src3') THEN 5 ELSE 0 END) AS INTEGER) AS score FROM documents
+    WHERE contains(lower(text), 'heon') OR contains(lower(source), 'heon') OR contains(lower(text), 'src3') OR contains(lower(source), 'src3')
+""")
+def keyword_score(spark: SparkSession, d: str) -> DataFrame:
+    return search.keyword_score(table(spark, d, "documents"), ["heon", "src3"], {"text": 2, "source": 5}, "doc_id")
+
+
+@query(r"""
+    SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages
+""")
+def html_strip(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", tx.strip_html("html").alias("body"))
+
+
+@query(r"SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
+def first_year(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", tx.first_year(F.concat(F.lit("no 12345 of "), F.col("o_orderdate").cast("string"))).alias("year"))
+
+
+@query("""
+    SELECT doc_id, array_to_string(list_slice(list_distinct_first, 1, 8), ' ') AS words FROM (
+        SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_first FROM (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ('that', 'with')) AS w FROM documents))
+""")
+def keyword_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.keywords("text", 4, 8, ["that", "with"]), " ").alias("words"))
+
+
+@query("SELECT event_id, 'k|' || event_type AS listed FROM events")
+def parse_list_fallback(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("k, "), F.col("event_type"))).otherwise(F.concat(F.lit('["k", "'), F.col("event_type"), F.lit('"]')))
+    return table(spark, d, "events").select("event_id", F.array_join(tx.parse_list(raw), "|").alias("listed"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_field(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).filter("k IS NOT NULL")
+
+
+@query("SELECT c_custkey, substr(sha256('customer::' || trim(lower(c_name))), 1, 32) AS key FROM customer")
+def stable_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", tx.stable_key(F.lit("Customer "), "c_name").alias("key"))
+
+
+@query(f"""
+    SELECT o_orderkey, date_diff('day', DATE '2024-01-20', CAST(o_orderdate AS DATE) + 60) AS days_left,
+           CASE WHEN date_diff('day', DATE '2024-01-20', CAST(o_orderdate AS DATE) + 60) < 0 THEN 'late' WHEN date_diff('day', DATE '2024-01-20', CAST(o_orderdate AS DATE) + 60) < 30 THEN 'soon' ELSE 'open' END AS state FROM orders
+""")
+def deadline_status(spark: SparkSession, d: str) -> DataFrame:
+    left = F.date_diff(F.date_add(F.col("o_orderdate").cast("date"), 60), F.lit("2024-01-20").cast("date"))
+    return table(spark, d, "orders").select("o_orderkey", left.cast("long").alias("days_left"), F.when(left < 0, "late").when(left < 30, "soon").otherwise("open").alias("state"))
+
+
+@query("""
+    SELECT o_orderkey, step, CAST(CAST(CAST(o_orderdate AS DATE) + CAST(days AS INTEGER) AS DATE) AS VARCHAR) AS due FROM orders, (SELECT unnest(['open', 'check', 'close']) AS step, unnest([0, 7, 30]) AS days) WHERE o_orderkey % 10 = 0
+""")
+def timeline_plan(spark: SparkSession, d: str) -> DataFrame:
+    steps = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(n).alias("days")) for s, n in (("open", 0), ("check", 7), ("close", 30))])
+    rows = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", "o_orderdate", F.explode(steps).alias("s"))
+    return rows.select("o_orderkey", "s.step", F.date_add(F.col("o_orderdate").cast("date"), F.col("s.days")).cast("string").alias("due"))
+
+
+_REDACT = "text"
+for _kind, _pattern in tx.REDACTIONS:
+    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '[{_kind.upper()}]', 'g')"
+
+
+@query(f"SELECT doc_id, {_REDACT} AS clean FROM documents")
+def pii_redact(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tx.redact("text").alias("clean"))
+
+
+@query(f"SELECT CAST(sum(len(regexp_extract_all(text, '{tx.REDACTIONS[0][1]}'))) AS BIGINT) AS email, count(*) AS docs FROM documents")
+def pii_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(tx.redactions("text").alias("r")).agg(F.sum("r.email").alias("email"), F.count("*").alias("docs"))
+
+
+@query("SELECT conv_id, turn, role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations")
+def next_line_join(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("reply"))
+
+
+@query("SELECT DISTINCT b.item_id AS item_id, d.doc_id AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def passage_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents hold a benchmark passage whole: found by their first five words, then compared."""
+    words = F.split("text", r"\s")
+    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.concat_ws(" ", F.slice(words, 1, 5)).alias("head"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, 5)))
+    heads = docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(starts)).alias("head"))
+    found = heads.join(passages, "head").join(docs, "doc_id")
+    return found.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
