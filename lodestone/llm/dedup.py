@@ -155,6 +155,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     number = "_row"
     while number in docs.columns:
         number += "_"
-    rows = scratch.keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    rows = scratch.keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows", "zstd")
     kept = decide(rows.select(F.col(number).alias("row"), "doc_id", "text")).filter("kept").select(F.col("row").alias(number))
     return rows.join(kept, number, "left_semi").drop(number)

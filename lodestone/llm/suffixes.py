@@ -226,7 +226,8 @@ def _find(docs: DataFrame, carry: list[str]) -> DataFrame:
     carried = ["rest"] if carry else []
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
-    parts = scratch.partitions(spark)
+    # enough buckets that one holds about 128 MB, as far as Spark allows
+    parts = min(100_000, max(scratch.partitions(spark), total >> 27))
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
     # bucketed by chunk: the texts are shuffled once, each later pass brings only its notes to them
     name = f"lodestone_texts_{uuid.uuid4().hex}"
