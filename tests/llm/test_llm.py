@@ -274,8 +274,11 @@ def test_near_duplicates(docs, texts, empty, odd):
     assert kept.columns == docs.columns and kept.count() == len(got)
 
 
-def test_near_duplicates_of_one_large_group(spark):
-    """Many different copies of one text, compared with centres only, make one class; other texts stay out."""
+@pytest.mark.parametrize("small", [4, 256])
+def test_near_duplicates_of_one_large_group(spark, small, monkeypatch):
+    """Many different copies of one text make one class, in small buckets and in large ones; other texts stay out."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "CENTRES", 2)
     rnd = random.Random(9)
     base = sentence(rnd, 300).split()
     texts = []
