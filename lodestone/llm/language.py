@@ -153,7 +153,8 @@ def predict(model: Model, text: str | Column = "text") -> Column:
 
     text = F.col(text) if isinstance(text, str) else text
     asked = F.when(text.rlike(r"\p{L}"), text)
-    return run(asked)
+    # declared so, lest a filter on the result runs it once more
+    return run.asNondeterministic()(asked)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
