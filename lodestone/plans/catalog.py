@@ -341,3 +341,59 @@ def passage_verify(spark: SparkSession, d: str) -> DataFrame:
     heads = docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(starts)).alias("head"))
     found = heads.join(passages, "head").join(docs, "doc_id")
     return found.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) FILTER (WHERE k <= 5) AS first_types FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) GROUP BY user_id")
+def group_to_list(spark: SparkSession, d: str) -> DataFrame:
+    """The first five event types of each user; rows beyond them are cut before they are collected."""
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    first = ranking.top_per_group(rows, "user_id", 5, F.col("ts"), F.col("event_id"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "event_type")))
+    return first.groupBy("user_id").agg(F.array_join(F.transform(listed, lambda x: x["event_type"]), ",").alias("first_types"))
+
+
+@query("""
+    WITH b AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS flags, list(DISTINCT l_linestatus || l_returnflag) AS marks FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, array_to_string(list_sort(flags), '') AS flags, array_to_string(list_sort(list_intersect(marks, ['OA', 'FR', 'ON'])), ' ') AS common, list_has_any(flags, ['R']) AS returned, len(marks) AS n_marks FROM b
+""")
+def array_set_operations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"), F.collect_set(F.concat("l_linestatus", "l_returnflag")).alias("marks"))
+    some = F.array(F.lit("OA"), F.lit("FR"), F.lit("ON"))
+    return rows.select("l_orderkey", F.array_join(F.array_sort("flags"), "").alias("flags"), F.array_join(F.array_sort(F.array_intersect("marks", some)), " ").alias("common"), F.array_contains("flags", "R").alias("returned"), F.size("marks").cast("long").alias("n_marks"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * (1 - l_discount)) AS BIGINT) AS whole, greatest(least(l_extendedprice, 50000.0), 2000.0) AS clamped FROM lineitem
+""")
+def floor_and_clamp(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("whole"), tx.clamp("l_extendedprice", 2000.0, 50000.0).alias("clamped"))
+
+
+@query("SELECT p_partkey, coalesce(CASE WHEN contains(p_type, 'BRASS') THEN 'brass' END, CASE WHEN p_size > 40 THEN 'large' END, CASE WHEN p_retailprice > 1500 THEN 'dear' END, 'plain') AS kind FROM part")
+def first_success(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.coalesce(F.when(F.col("p_type").contains("BRASS"), "brass"), F.when(F.col("p_size") > 40, "large"), F.when(F.col("p_retailprice") > 1500, "dear"), F.lit("plain"))
+    return table(spark, d, "part").select("p_partkey", kind.alias("kind"))
+
+
+@query(f"SELECT event_id, user_id FROM events WHERE ts + INTERVAL 7 DAY > TIMESTAMP '{NOW}'")
+def delete_expired(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").filter(F.col("ts") + F.expr("INTERVAL 7 DAYS") > F.lit(NOW).cast("timestamp_ntz")).select("event_id", "user_id")
+
+
+@query("SELECT d.doc_id AS doc_id, d.lang AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR d.text = ''")
+def null_or_empty(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return docs.filter(F.col("quality").isNull() | (F.col("text") == "")).select("doc_id", "lang")
+
+
+@query("SELECT n.n_name AS nation, r.r_name AS region, count(c.c_custkey) AS customers, round(coalesce(sum(c.c_acctbal), 0), 2) AS balance FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, r.r_name")
+def enrich_and_total(spark: SparkSession, d: str) -> DataFrame:
+    sums = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("s"))
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return nations.join(sums, "n_nationkey", "left").select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.coalesce("n", F.lit(0)).alias("customers"), F.round(F.coalesce("s", F.lit(0.0)), 2).alias("balance"))
+
+
+@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, max(turn) AS longest, round(avg(length(text)), 4) AS mean_chars FROM conversations GROUP BY role")
+def role_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.max("turn").alias("longest"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
