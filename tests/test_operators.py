@@ -94,3 +94,26 @@ def test_clamp_and_waterfall(spark):
     assert [r.x for r in rows.select(tx.clamp(F.col("id"), 1.5, 2.5).alias("x")).collect()] == [1.5, 2.0, 2.5]
     got = ranking.waterfall([rows.filter("id = 3"), rows], "id", 2, F.col("id")).collect()
     assert [(r.id, r.tier) for r in got] == [(3, 0), (1, 1)]
+
+
+def test_first_seen_drops_repeats_within_the_watermark(spark, tmp_path):
+    from lodestone.streaming.sync import first_seen
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:05:00"), ("b", "2024-01-01 00:06:00")]
+    spark.createDataFrame(rows, "k string, t string").selectExpr("k", "cast(t as timestamp) as t").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in"))
+    run = first_seen(stream, "k", "t", "10 minutes").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r.k for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_best_and_first_per_key(spark):
+    rows = spark.createDataFrame([("x", 1, 5.0), ("x", 2, 5.0), ("y", 3, None), ("y", 4, 1.0)], "g string, id long, s double")
+    assert {(r.g, r.id) for r in ranking.best_per_key(rows, ["g"], "s", "id").collect()} == {("x", 1), ("y", 4)}
+    assert {(r.g, r.id) for r in ranking.first_per_key(rows, ["g"], "id").collect()} == {("x", 1), ("y", 3)}
+
+
+def test_lookup_keeps_list_order_and_repeats(spark):
+    ids = spark.createDataFrame([([3, 1, 3, 9],)], "ids array<long>")
+    rows = spark.createDataFrame([(1, "a"), (3, "c")], "id long, v string")
+    assert [(r.pos, r.v) for r in relations.in_order(ids, rows, "id").orderBy("pos").collect()] == [(0, "c"), (1, "a"), (2, "c")]
