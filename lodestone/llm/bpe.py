@@ -13,9 +13,11 @@ what merging one pair at a time gives.
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -119,15 +121,17 @@ class Codec:
     def words(self, run: str) -> list[str]:
         """The words of a run of text without white space."""
         if run.isascii():
-            if run.isalpha():
-                return [run.lower()]
-            return self.pattern.findall(run.lower())
+            low = run.lower()
+            core = low.rstrip(string.punctuation)
+            if core.isalpha():  # letters, then perhaps one word of punctuation
+                return [core] if len(core) == len(low) else [core, low[len(core) :]]
+            return self.pattern.findall(low)
         run = unicodedata.normalize("NFC", run).replace("Σ", "σ")  # lower case goes by character: no final sigma
         return self.pattern.findall(run.lower())
 
-    def learn(self, runs: Iterable[str]) -> None:
+    def learn(self, runs: Iterable[list[str]]) -> None:
         """Encode the runs not yet known, all at once."""
-        wanted = set(runs)
+        wanted = set(chain.from_iterable(runs))
         new = [r for r in wanted if r not in self.known]
         if not new:
             return
@@ -152,7 +156,7 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [[(p, p in self.special) for p in self.cut.split(t)] if self.cut and "<" in t else [(t, False)] for t in texts]
         split = [[[p] if s else self.runs(p) for p, s in ps] for ps in parts]
-        self.learn(r for ps, ss in zip(parts, split, strict=True) for (_, s), rs in zip(ps, ss, strict=True) if not s for r in rs)
+        self.learn(rs for ps, ss in zip(parts, split, strict=True) for (_, s), rs in zip(ps, ss, strict=True) if not s)
         get, out = self.known.__getitem__, []
         for ps, ss in zip(parts, split, strict=True):
             out.append(b"".join(self.special[p].to_bytes(4, "little") if s else b"".join(map(get, rs)) for (p, s), rs in zip(ps, ss, strict=True)))
