@@ -298,7 +298,7 @@ def test_alignment_is_by_order():
     b = a[:]
     b[50] = "other"
     turned = a[100:] + a[:100]
-    x, y, z = (neardup.labelled(w) for w in (a, b, turned))
+    x, y, z = (neardup.labelled([w])[0] for w in (a, b, turned))
     assert neardup.similarity(x, y, 0.8) == pytest.approx(191 / 201)
     assert neardup.similarity(x, x, 0.8) == 1 and neardup.similarity(x, z, 0.8) == 0
 
