@@ -5,8 +5,9 @@ sketch takes the few labelled shingles with the least hash and keeps them in
 text order; texts share a sketch with a probability that falls with their edit
 distance.  Texts that share a sketch are first compared with one text of that
 bucket, the centre, which links most.  Those of a small bucket that are not in one class yet are then
-compared with each other; in a larger one, whoever stays apart is compared with
-further centres, until none is left.  A comparison aligns the two
+compared with each other.  In a larger one, whoever stays apart from the centre is compared with
+further ones, and last all pairs that are still in different classes are compared, but for those
+whose parities differ in more bits than the similarity allows.  A comparison aligns the two
 shingle sequences inside a band as wide as the similarity allows.
 
 Texts with the same words are one class from the start and take part once.
@@ -21,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ from lodestone.llm.arrow import slices
 WORDS, SAMPLE, SKETCHES = 5, 5, 32
 #: Rows of a bucket in which all are compared, and sketches that such a pair must share: at a similarity of 0.8 one pair in 20,000 shares fewer.
 SMALL, SHARED = 256, 2
-#: Further centres of a larger bucket in a round.
-CENTRES = 128
+#: Further centres of a larger bucket; rows of a block in which pairs of a larger bucket are sought, about, and bits of a text's parities.
+CENTRES, BLOCK, PARITY = 128, 1024, 1024
 #: Bytes of text that are hashed at once; bytes of labels that an aligning task remembers.
 PIECE, ALIGNED = 1 << 20, 32 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -116,6 +118,15 @@ def sketches(label: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return code
 
 
+def parities(label: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text and each of PARITY values of a label's last bits, whether an odd number of its labels has it, as bytes."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    held, many = np.unique(owner * PARITY + (label % np.uint64(PARITY)).astype(np.int64), return_counts=True)
+    odd = np.zeros(len(sizes) * PARITY, np.uint8)
+    odd[held] = many & 1
+    return np.packbits(odd.reshape(-1, PARITY), axis=1)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Aligned shingles over all shingles of both, or 0 if that is under ``least``.
 
@@ -166,9 +177,10 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a text without words is like no other
             sig = [hashlib.sha256(" ".join(own).encode()).digest() if own else b"row %d" % r for r, own in zip(row.to_pylist(), words, strict=True)]
             label, sizes = labelled(words)
+            parity = [bytes(p) for p in parities(label, sizes)]
             flat = pa.array(sketches(label, sizes)[sizes > 0].astype(np.int64).ravel())
             offsets = pa.array(np.r_[0, np.cumsum((sizes > 0) * SKETCHES)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), part.column("text"), pa.array(sig, pa.binary()), pa.array(np.maximum(sizes, 1)), pa.ListArray.from_arrays(offsets, flat)], ["row", "doc_id", "text", "sig", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), part.column("text"), pa.array(sig, pa.binary()), pa.array(np.maximum(sizes, 1)), pa.ListArray.from_arrays(offsets, flat), pa.array(parity, pa.binary())], ["row", "doc_id", "text", "sig", "size", "sketch", "parity"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,7 +249,7 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     Where ``numbered`` is a written table, whose rows keep their numbers, texts are read from it and not written again.
     """
     given = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = given.mapInArrow(_prepare, "row long, doc_id long, text string, sig binary, size long, sketch array<long>")
+    rows = given.mapInArrow(_prepare, "row long, doc_id long, text string, sig binary, size long, sketch array<long>, parity binary")
     rows = scratch.keep(rows.drop("text") if written else rows, "sketches", "zstd")
     same = scratch.keep(rows.groupBy("sig").agg(F.min("row").alias("rep")), "same")
     reps = rows.select("row", "size", "sketch").join(same.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -270,18 +282,17 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     both = own.join(other, "sketch").filter((F.col("row") > F.col("centre")) & (F.col("component") != F.col("apart")) & (F.least("size", "of") >= least * F.greatest("size", "of")))
     both = both.groupBy("row", "centre").agg(F.count("*").alias("n"), F.max("large").alias("large"))
     compare(both.filter((F.col("n") >= SHARED) | F.col("large").isNotNull()).select("row", "centre"))
-    # in larger buckets, those that stay apart from the centre, with as many further centres, until none is left
+    # in larger buckets, those that stay apart from the centre with some further ones, which links most, and so leaves few pairs
     if not large.isEmpty():
         residual = _apart(large.select("sketch", "row", "size", F.array("centre").alias("centres")), found)
-        while not residual.isEmpty():
-            # the least row of each of CENTRES parts of a bucket, so no task collects a whole bucket
-            dealt = residual.groupBy("sketch", F.pmod(F.xxhash64("row"), F.lit(CENTRES)).alias("part")).agg(F.min(F.struct("row", "size", "component")).alias("least"))
-            centres = scratch.keep(dealt.groupBy("sketch").agg(F.collect_list("least").alias("further")), "further")
-            apart = scratch.keep(residual.join(centres, "sketch"), "residual")
-            likely = (F.col("component") != F.col("c.component")) & (F.least("size", "c.size") >= least * F.greatest("size", "c.size"))
-            pairs = apart.select("row", "size", "component", F.explode("further").alias("c")).filter(likely)
-            compare(pairs.select(F.greatest("row", "c.row").alias("row"), F.least("row", "c.row").alias("centre")).distinct())
-            residual = _apart(apart.select("sketch", "row", "size", F.col("further.row").alias("centres")), found)
+        # the least row of each of CENTRES parts of a bucket, so no task collects a whole bucket
+        dealt = residual.groupBy("sketch", F.pmod(F.xxhash64("row"), F.lit(CENTRES)).alias("part")).agg(F.min(F.struct("row", "size", "component")).alias("least"))
+        centres = scratch.keep(dealt.groupBy("sketch").agg(F.collect_list("least").alias("further")), "further")
+        likely = (F.col("component") != F.col("c.component")) & (F.least("size", "c.size") >= least * F.greatest("size", "c.size"))
+        pairs = residual.join(centres, "sketch").select("row", "size", "component", F.explode("further").alias("c")).filter(likely)
+        compare(pairs.select(F.greatest("row", "c.row").alias("row"), F.least("row", "c.row").alias("centre")).distinct())
+        # last all pairs that are still in different components and may be alike
+        compare(_across(_with_component(large.select("sketch", "row", "size"), found), rows.select("row", "parity"), least))
     own = rows.select("row", "doc_id", "sig").join(same, "sig").join(found.withColumnsRenamed({"row": "rep"}), "rep", "left")
     own = scratch.keep(own.select("row", "doc_id", F.coalesce("component", "rep").alias("component")), "own")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
@@ -301,6 +312,49 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return scratch.keep(own.join(near, ["sketch", "component"], "left_anti").select("sketch", "row", "size", "component"), "apart")
 
 
+def _across(own: DataFrame, parities: DataFrame, least: float) -> DataFrame:
+    """Pairs (row, centre) of a bucket's rows in different components, without those whose parities show that they aren't ``least`` alike.
+
+    Every row outside a bucket's largest component meets all rows of the bucket, block by block.
+    """
+    counts = own.groupBy("sketch", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("sketch").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
+    dealt = scratch.keep(own.join(main, "sketch").join(parities, "row"), "several")
+    outer, inner = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / BLOCK)
+    mine = F.xxhash64("row")
+    probe = dealt.filter("component <> main").withColumn("i", F.pmod(mine, outer)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), inner - 1))).withColumn("probe", F.lit(True))
+    every = dealt.withColumn("j", F.pmod(mine, inner)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), outer - 1))).withColumn("probe", F.lit(False))
+    columns = ["sketch", "i", "j", "row", "size", "component", "parity", "probe"]
+
+    def meet(block: pa.Table) -> pa.Table:
+        probes, others = block.filter(block["probe"]), block.filter(pc.invert(block["probe"]))
+        a, b = possible(*(([t[c].to_numpy() for c in ("size", "component")] + [np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)]) for t in (probes, others)), least)
+        x, y = probes["row"].to_numpy()[a], others["row"].to_numpy()[b]
+        return pa.table({"row": np.maximum(x, y), "centre": np.minimum(x, y)})
+
+    return probe.select(columns).unionByName(every.select(columns)).groupBy("sketch", "i", "j").applyInArrow(meet, "row long, centre long").distinct()
+
+
+def possible(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different component that may be ``least`` alike; ``a`` and ``b`` are sizes, components and parities.
+
+    A label that only one text has turns one bit of its parities, so at least as many labels differ as bits do.
+    """
+    if not len(a[0]) or not len(b[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, m = a[0][:, None], b[0][None, :]
+    most = ((n + m) * ((1 - least) / (1 + least)) + 1e-6).astype(np.int64)
+    ok = (a[1][:, None] != b[1][None, :]) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
+    bits = np.zeros(ok.shape, np.int16)
+    for k in range(4):
+        bits += np.bitwise_count(a[2][:, k, None] ^ b[2][None, :, k])
+    i, j = np.nonzero(ok & (bits <= most))
+    step = 1 << 16
+    parts = [(i[k : k + step], j[k : k + step]) for k in range(0, max(len(i), 1), step)]
+    keep = np.concatenate([np.bitwise_count(a[2][x] ^ b[2][y]).sum(1) <= most[x, y] for x, y in parts])
+    return i[keep], j[keep]
+
+
 def deduplicate(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
     number = "_row"

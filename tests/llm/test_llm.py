@@ -292,6 +292,48 @@ def test_near_duplicates_of_one_large_group(spark, small, monkeypatch):
     assert got[0] == 150 and len(got) == 21
 
 
+def changed(rnd, words, edits):
+    """``words`` with so many of them replaced by new ones."""
+    own = list(words)
+    for k in rnd.sample(range(len(own)), edits):
+        own[k] = f"w{rnd.random()}"
+    return own
+
+
+def classes_of(spark, texts):
+    got = collections.defaultdict(set)
+    for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[r.class_id].add(r.doc_id)
+    return {frozenset(x) for x in got.values()}
+
+
+def test_near_duplicates_of_chains_in_large_buckets(spark, monkeypatch):
+    """Copies of copies: most are like the one that they were made of and one or two more, and unlike the rest of their buckets."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "CENTRES", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rnd = random.Random(3)
+    own = [sentence(rnd, 120).split()]
+    for _ in range(150):
+        own.append(changed(rnd, rnd.choice(own), 2 if rnd.random() < 0.8 else 3))
+    rnd.shuffle(own)
+    texts = [(i, " ".join(w)) for i, w in enumerate(own)]
+    want = brute_classes(texts)
+    assert 1 < len(want) < 100 and classes_of(spark, texts) == want
+
+
+def test_near_duplicates_of_a_star_of_thousands(spark):
+    """Copies like the original alone: about 0.82 like it, 0.67 like each other."""
+    rnd = random.Random(8)
+    base = sentence(rnd, 105).split()
+    texts = [(i, changed(rnd, base, 2)) for i in range(3000)]
+    texts.insert(1500, (3000, base))
+    own = {i: neardup.labelled([w])[0] for i, w in texts}
+    like = {i for i, label in own.items() if neardup.similarity(label, own[3000], 0.8) > 0}
+    got = classes_of(spark, [(i, " ".join(w)) for i, w in texts])
+    assert len(like) > 2900 and like in got
+
+
 def test_alignment_is_by_order():
     rnd = random.Random(4)
     a = sentence(rnd, 200).split()
