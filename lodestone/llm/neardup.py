@@ -5,8 +5,8 @@ sketch takes the few labelled shingles with the least hash and keeps them in
 text order; texts share a sketch with a probability that falls with their edit
 distance.  Texts that share a sketch are first compared with one text of that
 bucket, the centre, which links most.  Those of a small bucket that are not in one class yet are then
-compared with each other.  In a larger one, whoever stays apart from the centre is compared with
-further ones, and last all pairs that are still in different classes are compared, but for those
+compared with each other.  In a larger one, whoever stays apart is compared with the bucket's own centre
+and with further ones, and last all pairs that are still in different classes are compared, but for those
 whose parities differ in more bits than the similarity allows.  A comparison aligns the two
 shingle sequences inside a band as wide as the similarity allows.
 
@@ -282,8 +282,13 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     both = own.join(other, "sketch").filter((F.col("row") > F.col("centre")) & (F.col("component") != F.col("apart")) & (F.least("size", "of") >= least * F.greatest("size", "of")))
     both = both.groupBy("row", "centre").agg(F.count("*").alias("n"), F.max("large").alias("large"))
     compare(both.filter((F.col("n") >= SHARED) | F.col("large").isNotNull()).select("row", "centre"))
-    # in larger buckets, those that stay apart from the centre with some further ones, which links most, and so leaves few pairs
+    # in larger buckets, first those apart from the bucket's own centre with it, for it need not be the one that they were compared with
     if not large.isEmpty():
+        likely = (F.col("component") != F.col("apart")) & (F.least("size", "of") >= least * F.greatest("size", "of"))
+        mine = _with_component(large.filter("row <> centre").select("row", "centre", "size").distinct(), found)
+        mine = mine.join(_with_component(large.select("row", "size").distinct(), found).toDF("centre", "of", "apart"), "centre")
+        compare(mine.filter(likely).select("row", "centre"))
+        # then those that stay apart from it with some further centres, which links most, and so leaves few pairs
         residual = _apart(large.select("sketch", "row", "size", F.array("centre").alias("centres")), found)
         # the least row of each of CENTRES parts of a bucket, so no task collects a whole bucket
         dealt = residual.groupBy("sketch", F.pmod(F.xxhash64("row"), F.lit(CENTRES)).alias("part")).agg(F.min(F.struct("row", "size", "component")).alias("least"))

@@ -334,6 +334,29 @@ def test_near_duplicates_of_a_star_of_thousands(spark):
     assert len(like) > 2900 and like in got
 
 
+def test_members_meet_the_centre_of_a_large_bucket(spark, monkeypatch):
+    """Whoever is in another class than a large bucket's centre was compared with it, also if it was compared with another centre before."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    met = set()
+    verify = neardup.verify
+
+    def spy(pairs, texts, least):
+        met.update((r.row, r.centre) for r in pairs.collect())
+        return verify(pairs, texts, least)
+
+    monkeypatch.setattr(neardup, "verify", spy)
+    rnd = random.Random(6)
+    base = sentence(rnd, 105).split()
+    texts = [(i, i, " ".join(changed(rnd, base, 3))) for i in range(60)]
+    got = {r.row: r.class_id for r in neardup.classes(spark.createDataFrame(texts, "row long, doc_id long, text string")).collect()}
+    buckets = collections.defaultdict(set)
+    for i, row in enumerate(neardup.sketches(*neardup.labelled([neardup.words_of(t) for _, _, t in texts])).tolist()):
+        for code in row:
+            buckets[code].add(i)
+    apart = {(i, min(b)) for b in buckets.values() if len(b) > 4 for i in b if got[i] != got[min(b)]}
+    assert len(apart) > 50 and apart <= met
+
+
 def test_alignment_is_by_order():
     rnd = random.Random(4)
     a = sentence(rnd, 200).split()
