@@ -10,6 +10,9 @@ and with further ones, and last all pairs that are still in different classes ar
 whose parities differ in more bits than the similarity allows.  A comparison aligns the two
 shingle sequences inside a band as wide as the similarity allows.
 
+Texts of few shingles, which may be alike and share no sketch, share their buckets by their rarest
+labelled shingles too, so that no pair of them is missed.
+
 Texts with the same words are one class from the start and take part once.
 """
 
@@ -33,6 +36,8 @@ from lodestone.llm.arrow import slices
 WORDS, SAMPLE, SKETCHES = 5, 5, 32
 #: Rows of a bucket in which all are compared, and sketches that such a pair must share: at a similarity of 0.8 one pair in 20,000 shares fewer.
 SMALL, SHARED = 256, 2
+#: Labelled shingles of a text up to which all pairs that may be alike are compared, whether they share a sketch or not.
+SHORT = 64
 #: Further centres of a larger bucket; rows of a block in which pairs of a larger bucket are sought, about, and bits of a text's parities.
 CENTRES, BLOCK, PARITY = 128, 1024, 1024
 #: Bytes of text that are hashed at once; bytes of labels that an aligning task remembers.
@@ -169,7 +174,8 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prepare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows with their sketches and parities, those of at most ``most`` labelled shingles with their labels too."""
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             row, text = part.column("row"), part.column("text").to_pylist()
@@ -177,10 +183,12 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a text without words is like no other
             sig = [hashlib.sha256(" ".join(own).encode()).digest() if own else b"row %d" % r for r, own in zip(row.to_pylist(), words, strict=True)]
             label, sizes = labelled(words)
+            few = (sizes <= most) & (sizes > 0)
+            short = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes * few)].astype(np.int32)), pa.array(label[np.repeat(few, sizes)].view(np.int64)))
             parity = [bytes(p) for p in parities(label, sizes)]
             flat = pa.array(sketches(label, sizes)[sizes > 0].astype(np.int64).ravel())
             offsets = pa.array(np.r_[0, np.cumsum((sizes > 0) * SKETCHES)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), part.column("text"), pa.array(sig, pa.binary()), pa.array(np.maximum(sizes, 1)), pa.ListArray.from_arrays(offsets, flat), pa.array(parity, pa.binary())], ["row", "doc_id", "text", "sig", "size", "sketch", "parity"])
+            yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), part.column("text"), pa.array(sig, pa.binary()), pa.array(np.maximum(sizes, 1)), pa.ListArray.from_arrays(offsets, flat), pa.array(parity, pa.binary()), short], ["row", "doc_id", "text", "sig", "size", "sketch", "parity", "label"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,11 +257,13 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     Where ``numbered`` is a written table, whose rows keep their numbers, texts are read from it and not written again.
     """
     given = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = given.mapInArrow(_prepare, "row long, doc_id long, text string, sig binary, size long, sketch array<long>, parity binary")
+    most = int(SHORT / least) + 1  # a text of at most SHORT labels is like none of more than that
+    rows = given.mapInArrow(lambda batches: _prepare(batches, most), "row long, doc_id long, text string, sig binary, size long, sketch array<long>, parity binary, label array<long>")
     rows = scratch.keep(rows.drop("text") if written else rows, "sketches", "zstd")
     same = scratch.keep(rows.groupBy("sig").agg(F.min("row").alias("rep")), "same")
-    reps = rows.select("row", "size", "sketch").join(same.select(F.col("rep").alias("row")), "row", "left_semi")
-    buckets = reps.select("row", "size", F.explode("sketch").alias("sketch"))
+    reps = rows.select("row", "size", "sketch", "label").join(same.select(F.col("rep").alias("row")), "row", "left_semi")
+    buckets = reps.select("row", "size", F.explode("sketch").alias("sketch"), F.lit(False).alias("exact"))
+    buckets = buckets.unionByName(_rarest(reps.select("row", "size", F.explode("label").alias("sketch")), least).withColumn("exact", F.lit(True)))
     several = scratch.keep(buckets.groupBy("sketch").agg(F.min("row").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "several")
     members = scratch.keep(buckets.join(several, "sketch"), "members")
     texts = scratch.keep((given if written else rows).select("row", "text").join(members.select("row").distinct(), "row", "left_semi"), "candidates")
@@ -276,12 +286,12 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     # then, in buckets of at most SMALL rows, all that are not in one component yet and whose sizes allow the similarity
     large = members.filter(F.col("n") > SMALL)
     own = _with_component(members.filter(F.col("n") <= SMALL), found)
-    own = own.join(large.select("row").distinct().withColumn("large", F.lit(True)), "row", "left").select("sketch", "row", "size", "component", "large")
+    own = own.join(large.select("row").distinct().withColumn("large", F.lit(True)), "row", "left").select("sketch", "row", "size", "component", "large", "exact")
     own = scratch.keep(own, "own")
     other = own.select("sketch", F.col("row").alias("centre"), F.col("size").alias("of"), F.col("component").alias("apart"))
     both = own.join(other, "sketch").filter((F.col("row") > F.col("centre")) & (F.col("component") != F.col("apart")) & (F.least("size", "of") >= least * F.greatest("size", "of")))
-    both = both.groupBy("row", "centre").agg(F.count("*").alias("n"), F.max("large").alias("large"))
-    compare(both.filter((F.col("n") >= SHARED) | F.col("large").isNotNull()).select("row", "centre"))
+    both = both.groupBy("row", "centre").agg(F.count("*").alias("n"), F.max("large").alias("large"), F.max("exact").alias("exact"))
+    compare(both.filter((F.col("n") >= SHARED) | F.col("large").isNotNull() | F.col("exact")).select("row", "centre"))
     # in larger buckets, first those apart from the bucket's own centre with it, for it need not be the one that they were compared with
     if not large.isEmpty():
         likely = (F.col("component") != F.col("apart")) & (F.least("size", "of") >= least * F.greatest("size", "of"))
@@ -305,6 +315,18 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     return own.join(groups, "component").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept"))
 
 
+def _rarest(labels: DataFrame, least: float) -> DataFrame:
+    """Of ``labels`` (row, size, sketch) of few labels each, those rarest ones of a row of which it shares one with every row that is ``least`` alike.
+
+    Alike rows share ceil(least * size) labels or more, so one is among the size - ceil(least * size) + 1 first
+    in any order that is the same for all rows.  Labels that only one row has come first and are not returned.
+    """
+    common = scratch.keep(labels.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    held = labels.join(common, "sketch").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sketch"))).alias("held"))
+    first = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - (F.col("size") - F.size("held"))
+    return held.select("row", "size", F.explode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).select("row", "size", F.col("col.sketch").alias("sketch"))
+
+
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
 

@@ -357,6 +357,24 @@ def test_members_meet_the_centre_of_a_large_bucket(spark, monkeypatch):
     assert len(apart) > 50 and apart <= met
 
 
+@pytest.mark.parametrize("small", [4, 256])
+def test_near_duplicates_of_short_texts(spark, small, monkeypatch):
+    """Pairs that share no sketch at all, 8 words against 9, or hardly any, 9 against 10; and groups of these with one common word more."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rnd = random.Random(12)
+    texts = []
+    for n in (1, 3, 5, 7, 8, 9, 10, 12, 14, 18, 24):
+        for _ in range(25):
+            own = [f"{word(rnd)}{rnd.random()}" for _ in range(n)]
+            texts += [own, [*own, "more"], ["less", *own], changed(rnd, own, 1)][: rnd.randrange(2, 5)]
+    own = sentence(rnd, 9).split()
+    texts += [[*own, f"end{i}"] for i in range(40)] + [[f"start{i}", *own] for i in range(40)] + [own]
+    rnd.shuffle(texts)
+    texts = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = brute_classes(texts)
+    assert classes_of(spark, texts) == want
+
+
 def test_alignment_is_by_order():
     rnd = random.Random(4)
     a = sentence(rnd, 200).split()
