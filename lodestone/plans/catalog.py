@@ -333,14 +333,22 @@ def next_line_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT b.item_id AS item_id, d.doc_id AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def passage_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Which documents hold a benchmark passage whole: found by their first five words, then compared."""
+    """Which documents hold a benchmark passage whole: found by five words inside it, or by as many as it has, then compared.
+
+    The first and last word of a passage may be parts of a document's words, those between are whole.  A passage
+    of less than three words has none between and is compared with every document.
+    """
     words = F.split("text", r"\s")
-    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.concat_ws(" ", F.slice(words, 1, 5)).alias("head"))
+    length = F.least(F.size(words) - 2, F.lit(5))
+    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), length.alias("length"), F.concat_ws(" ", F.slice(words, 2, F.greatest(length, F.lit(1)))).alias("inner"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, 5)))
-    heads = docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(starts)).alias("head"))
-    found = heads.join(passages, "head").join(docs, "doc_id")
-    return found.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
+    lengths = passages.filter("length > 0").select("length").distinct()  # five at most
+    starts = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.concat_ws(" ", F.slice("words", i, F.col("length"))))
+    parts = docs.select("doc_id", words.alias("words")).join(F.broadcast(lengths), F.size("words") >= F.col("length"))
+    parts = parts.select("doc_id", "length", F.explode(F.array_distinct(starts)).alias("inner"))
+    found = parts.join(passages.filter("length > 0"), ["length", "inner"]).join(docs, "doc_id").select("item_id", "doc_id", "text", "passage")
+    short = docs.join(passages.filter("length <= 0"), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    return found.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").unionByName(short).distinct()
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) FILTER (WHERE k <= 5) AS first_types FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) GROUP BY user_id")
