@@ -3,17 +3,18 @@
 A text's words make shingles of five, each labelled with how often it occurred before.  A
 sketch takes the few labelled shingles with the least hash and keeps them in
 text order; texts share a sketch with a probability that falls with their edit
-distance.  Texts that share a sketch are first compared with one text of that
-bucket, the centre, which links most.  Those of a small bucket that are not in one class yet are then
-compared with each other.  In a larger one, whoever stays apart is compared with the bucket's own centre
-and with further ones, and last all pairs that are still in different classes are compared, but for those
-whose parities differ in more bits than the similarity allows.  A comparison aligns the two
-shingle sequences inside a band as wide as the similarity allows.
+distance.  Texts with the same words are one class from the start and take part once.
+
+Texts that share a sketch are a bucket.  A bucket's centre is the text that meets most others in all of
+its buckets: an original meets its copies in more of them than copies meet each other, so most of a
+group of copies are linked by one comparison each.  Then the texts of a bucket that are still under
+different labels are held against each other, in blocks: sizes and parities (one bit for each of many
+classes of labels) rule out nearly all pairs that are not alike, and none that is, and what is left is
+aligned.  This is the same for buckets of every size.  Aligning compares the two shingle sequences
+inside a band as wide as the similarity allows.
 
 Texts of few shingles, which may be alike and share no sketch, share their buckets by their rarest
 labelled shingles too, so that no pair of them is missed.
-
-Texts with the same words are one class from the start and take part once.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import scratch
@@ -34,12 +34,10 @@ from lodestone.llm.arrow import slices
 
 #: Words of a shingle, shingles of a sketch, sketches of a text.
 WORDS, SAMPLE, SKETCHES = 5, 5, 32
-#: Rows of a bucket in which all are compared, and sketches that such a pair must share: at a similarity of 0.8 one pair in 20,000 shares fewer.
-SMALL, SHARED = 256, 2
 #: Labelled shingles of a text up to which all pairs that may be alike are compared, whether they share a sketch or not.
 SHORT = 64
-#: Further centres of a larger bucket; rows of a block in which pairs of a larger bucket are sought, about, and bits of a text's parities.
-CENTRES, BLOCK, PARITY = 128, 1024, 1024
+#: Rows of a block in which pairs of a bucket are sought, about, bits of a text's parities, and pairs whose parities are held against each other at once.
+BLOCK, PARITY, AT_ONCE = 1024, 1024, 1 << 16
 #: Bytes of text that are hashed at once; bytes of labels that an aligning task remembers.
 PIECE, ALIGNED = 1 << 20, 32 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -192,20 +190,21 @@ def _prepare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 
 def components(links: DataFrame) -> DataFrame:
-    """row and component (its least row) of all rows in ``links`` (a, b), by least labels and pointer jumping."""
+    """row and component (its least row) of all rows in ``links`` (a, b), written, by least labels and pointer jumping."""
     edges = scratch.keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = scratch.keep(edges.groupBy(F.col("a").alias("row")).agg(F.min("b").alias("least")).select("row", F.least("row", "least").alias("component")), "labels")
     while True:
-        near = edges.join(labels.withColumnsRenamed({"row": "b"}), "b").groupBy(F.col("a").alias("row")).agg(F.min("component").alias("near"))
+        near = edges.join(labels.select(F.col("row").alias("b"), "component"), "b").groupBy(F.col("a").alias("row")).agg(F.min("component").alias("near"))
         step = scratch.keep(labels.join(near, "row").select("row", F.col("component").alias("was"), F.least("component", "near").alias("component")), "step")
         # a component's number is a row of it, so it has a label itself
         jump = step.select(F.col("row").alias("component"), F.col("component").alias("further"))
         new = scratch.keep(step.join(jump, "component").select("row", F.least("component", "further").alias("component"), "was"), "labels")
         changed = not new.filter("component <> was").isEmpty()
         scratch.drop(labels, step)
-        labels = new.select("row", "component")
+        labels = new
         if not changed:
-            return labels
+            scratch.drop(edges)
+            return labels.drop("was")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -261,60 +260,63 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     rows = given.mapInArrow(lambda batches: _prepare(batches, most), "row long, doc_id long, text string, sig binary, size long, sketch array<long>, parity binary, label array<long>")
     rows = scratch.keep(rows.drop("text") if written else rows, "sketches", "zstd")
     same = scratch.keep(rows.groupBy("sig").agg(F.min("row").alias("rep")), "same")
-    reps = rows.select("row", "size", "sketch", "label").join(same.select(F.col("rep").alias("row")), "row", "left_semi")
-    buckets = reps.select("row", "size", F.explode("sketch").alias("sketch"), F.lit(False).alias("exact"))
-    buckets = buckets.unionByName(_rarest(reps.select("row", "size", F.explode("label").alias("sketch")), least).withColumn("exact", F.lit(True)))
-    several = scratch.keep(buckets.groupBy("sketch").agg(F.min("row").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "several")
-    members = scratch.keep(buckets.join(several, "sketch"), "members")
-    texts = scratch.keep((given if written else rows).select("row", "text").join(members.select("row").distinct(), "row", "left_semi"), "candidates")
-    # first the centre that shares most sketches: it links most rows, so that few pairs are left
-    shared = members.filter("row <> centre").groupBy("row", "centre").agg(F.count("*").alias("n"))
-    tested = scratch.keep(shared.groupBy("row").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre")), "pairs")
-    links = scratch.keep(verify(tested, texts, least), "links")
-    found = components(links)
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal tested, links, found
-        pairs = scratch.keep(pairs.join(tested, ["row", "centre"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            more = scratch.keep(verify(pairs, texts, least), "links")
-            tested = scratch.keep(tested.unionByName(pairs), "tested")
-            if not more.isEmpty():
-                links = scratch.keep(links.unionByName(more), "links")
-                found = components(links)
-
-    # then, in buckets of at most SMALL rows, all that are not in one component yet and whose sizes allow the similarity
-    large = members.filter(F.col("n") > SMALL)
-    own = _with_component(members.filter(F.col("n") <= SMALL), found)
-    own = own.join(large.select("row").distinct().withColumn("large", F.lit(True)), "row", "left").select("sketch", "row", "size", "component", "large", "exact")
-    own = scratch.keep(own, "own")
-    other = own.select("sketch", F.col("row").alias("centre"), F.col("size").alias("of"), F.col("component").alias("apart"))
-    both = own.join(other, "sketch").filter((F.col("row") > F.col("centre")) & (F.col("component") != F.col("apart")) & (F.least("size", "of") >= least * F.greatest("size", "of")))
-    both = both.groupBy("row", "centre").agg(F.count("*").alias("n"), F.max("large").alias("large"), F.max("exact").alias("exact"))
-    compare(both.filter((F.col("n") >= SHARED) | F.col("large").isNotNull() | F.col("exact")).select("row", "centre"))
-    # in larger buckets, first those apart from the bucket's own centre with it, for it need not be the one that they were compared with
-    if not large.isEmpty():
-        likely = (F.col("component") != F.col("apart")) & (F.least("size", "of") >= least * F.greatest("size", "of"))
-        mine = _with_component(large.filter("row <> centre").select("row", "centre", "size").distinct(), found)
-        mine = mine.join(_with_component(large.select("row", "size").distinct(), found).toDF("centre", "of", "apart"), "centre")
-        compare(mine.filter(likely).select("row", "centre"))
-        # then those that stay apart from it with some further centres, which links most, and so leaves few pairs
-        residual = _apart(large.select("sketch", "row", "size", F.array("centre").alias("centres")), found)
-        # the least row of each of CENTRES parts of a bucket, so no task collects a whole bucket
-        dealt = residual.groupBy("sketch", F.pmod(F.xxhash64("row"), F.lit(CENTRES)).alias("part")).agg(F.min(F.struct("row", "size", "component")).alias("least"))
-        centres = scratch.keep(dealt.groupBy("sketch").agg(F.collect_list("least").alias("further")), "further")
-        likely = (F.col("component") != F.col("c.component")) & (F.least("size", "c.size") >= least * F.greatest("size", "c.size"))
-        pairs = residual.join(centres, "sketch").select("row", "size", "component", F.explode("further").alias("c")).filter(likely)
-        compare(pairs.select(F.greatest("row", "c.row").alias("row"), F.least("row", "c.row").alias("centre")).distinct())
-        # last all pairs that are still in different components and may be alike
-        compare(_across(_with_component(large.select("sketch", "row", "size"), found), rows.select("row", "parity"), least))
-    own = rows.select("row", "doc_id", "sig").join(same, "sig").join(found.withColumnsRenamed({"row": "rep"}), "rep", "left")
-    own = scratch.keep(own.select("row", "doc_id", F.coalesce("component", "rep").alias("component")), "own")
+    members = _members(rows.join(same.select(F.col("rep").alias("row")), "row", "left_semi"), least)
+    texts = scratch.keep((given if written else rows).select("row", "text").join(members.select("row").distinct(), "row", "left_semi"), "candidates", "zstd")
+    tested = scratch.keep(_stars(members), "stars")
+    stars = scratch.keep(verify(tested, texts, least), "links")
+    labels = scratch.keep(_labels(stars), "labels")
+    pairs = _across(_labelled(members.select("sketch", "row"), labels), rows.select("row", "size", "parity"), least)
+    pairs = scratch.keep(pairs.join(tested, ["row", "centre"], "left_anti"), "pairs")
+    links = scratch.keep(stars.unionByName(verify(pairs, texts, least)), "links")
+    scratch.drop(members, texts, tested, stars, pairs)
+    # links between labels: most links are inside one
+    ends = _labelled(_labelled(links.withColumnRenamed("a", "row"), labels).select(F.col("label").alias("a"), F.col("b").alias("row")), labels)
+    between = components(ends.select("a", F.col("label").alias("b")).filter("a <> b").distinct())
+    own = rows.select("row", "doc_id", "sig").join(same, "sig").join(labels.withColumnRenamed("row", "rep"), "rep", "left")
+    own = own.withColumn("label", F.coalesce("label", "rep")).join(between.withColumnRenamed("row", "label"), "label", "left")
+    own = scratch.keep(own.select("row", "doc_id", F.coalesce("component", "label").alias("component")), "own")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     groups = scratch.keep(own.groupBy("component").agg(first, F.count("*").alias("class_size")).select("component", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"), "class_size"), "groups")
+    scratch.drop(rows, same, labels, links)
     return own.join(groups, "component").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept"))
 
 
+def _members(reps: DataFrame, least: float) -> DataFrame:
+    """sketch, row and popularity of the members of buckets of two rows or more, written; a row's popularity is the sum of its buckets' sizes."""
+    buckets = reps.select("row", F.explode("sketch").alias("sketch"))
+    buckets = buckets.unionByName(_rarest(reps.select("row", "size", F.explode("label").alias("sketch")), least))
+    several = scratch.keep(buckets.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "several")
+    # a row has SKETCHES buckets, or a few more if it is short
+    popularity = F.sum("n").over(Window.partitionBy("row"))
+    out = scratch.keep(buckets.join(several, "sketch").select("sketch", "row", popularity.alias("popularity")), "members")
+    scratch.drop(several)
+    return out
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """row and centre: each row with the most popular row of its buckets, that of most buckets, if it isn't the most popular itself.
+
+    Centres are more popular than their rows, or as popular and of a smaller number, so there are no circles.
+    """
+    rank = F.struct("popularity", (-F.col("row")).alias("turned"))
+    centres = members.groupBy("sketch").agg(F.max(rank).alias("most")).select("sketch", (-F.col("most.turned")).alias("centre"))
+    met = members.select("sketch", "row").join(centres, "sketch").filter("row <> centre").repartition("row")
+    return met.groupBy("row", "centre").agg(F.count("*").alias("n")).groupBy("row").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    """row and label of the linked rows: its centre's centre, or its centre if that has none.
+
+    A label need not be a whole component: where it is less, more pairs are compared, none fewer.
+    """
+    further = stars.select(F.col("a").alias("b"), F.col("b").alias("further"))
+    return stars.join(further, "b", "left").select(F.col("a").alias("row"), F.coalesce("further", "b").alias("label"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+
 def _rarest(labels: DataFrame, least: float) -> DataFrame:
     """Of ``labels`` (row, size, sketch) of few labels each, those rarest ones of a row of which it shares one with every row that is ``least`` alike.
 
@@ -324,62 +326,76 @@ def _rarest(labels: DataFrame, least: float) -> DataFrame:
     common = scratch.keep(labels.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "common")
     held = labels.join(common, "sketch").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sketch"))).alias("held"))
     first = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - (F.col("size") - F.size("held"))
-    return held.select("row", "size", F.explode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).select("row", "size", F.col("col.sketch").alias("sketch"))
-
+    return held.select("row", F.explode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).select("row", F.col("col.sketch").alias("sketch"))
 
-def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
 
+def _across(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (row, centre) of a bucket's rows under different labels, without those whose sizes or parities show that they aren't ``least`` alike.
 
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that are in the component of none of their bucket's centres."""
-    centres = members.select("sketch", F.explode("centres").alias("row")).distinct()
-    near = scratch.keep(_with_component(centres, found).select("sketch", "component").distinct(), "near")
-    own = _with_component(members.select("sketch", "row", "size"), found)
-    return scratch.keep(own.join(near, ["sketch", "component"], "left_anti").select("sketch", "row", "size", "component"), "apart")
-
-
-def _across(own: DataFrame, parities: DataFrame, least: float) -> DataFrame:
-    """Pairs (row, centre) of a bucket's rows in different components, without those whose parities show that they aren't ``least`` alike.
-
-    Every row outside a bucket's largest component meets all rows of the bucket, block by block.
+    ``own`` has sketch, row and label, ``texts`` row, size and parity.  Every row outside a
+    bucket's largest label meets all rows of the bucket, block by block; a block is a part of
+    the former and a part of the latter, of BLOCK rows or so each.
     """
-    counts = own.groupBy("sketch", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("sketch").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
-    dealt = scratch.keep(own.join(main, "sketch").join(parities, "row"), "several")
+    counts = own.groupBy("sketch", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("sketch").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
     outer, inner = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / BLOCK)
-    mine = F.xxhash64("row")
-    probe = dealt.filter("component <> main").withColumn("i", F.pmod(mine, outer)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), inner - 1))).withColumn("probe", F.lit(True))
-    every = dealt.withColumn("j", F.pmod(mine, inner)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), outer - 1))).withColumn("probe", F.lit(False))
-    columns = ["sketch", "i", "j", "row", "size", "component", "parity", "probe"]
+    mine, zero = F.xxhash64("row"), F.lit(0).cast("long")
+    probe = F.transform(F.sequence(zero, inner - 1), lambda j: F.struct(F.pmod(mine, outer).alias("i"), j.alias("j"), F.lit(True).alias("probe")))
+    every = F.transform(F.sequence(zero, outer - 1), lambda i: F.struct(i.alias("i"), F.pmod(mine, inner).alias("j"), F.lit(False).alias("probe")))
+    places = F.when(F.col("label") == F.col("main"), every).otherwise(F.concat(probe, every))
+    dealt = own.join(main, "sketch").join(texts, "row").select("sketch", "row", "label", "size", "parity", F.explode(places).alias("at"))
+    dealt = dealt.select(F.xxhash64("sketch", "at.i", "at.j").alias("block"), "sketch", "at.i", "at.j", "at.probe", "row", "label", "size", "parity")
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "sketch", "i", "j", "probe")
+    return dealt.mapInArrow(lambda batches: _meet(batches, least), "row long, centre long").distinct()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of each block; batches are sorted by block, in each the rows that are met before those that meet them."""
+    rest: list[pa.RecordBatch] = []
+
+    def blocks(table: pa.Table, ended: bool) -> tuple[pa.Table, pa.RecordBatch]:
+        """The rows of the last block, unless ``ended``, and the pairs of the blocks before it."""
+        keys = np.stack([table[c].to_numpy() for c in ("sketch", "i", "j")])
+        first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+        end = table.num_rows if ended else int(first[-1])
+        bounds = np.r_[first[first < end], end]
+        row, label, size = (table[c].to_numpy() for c in ("row", "label", "size"))
+        parity = np.frombuffer(b"".join(table["parity"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        met = np.add.reduceat((~table["probe"].to_numpy()[:end]).astype(np.int64), bounds[:-1]) if end else np.zeros(0, np.int64)
+        a, b = possible(bounds[:-1], met, np.diff(bounds) - met, size, label, parity, least)
+        x, y = row[a], row[b]
+        return table.slice(end), pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["row", "centre"])
 
-    def meet(block: pa.Table) -> pa.Table:
-        probes, others = block.filter(block["probe"]), block.filter(pc.invert(block["probe"]))
-        a, b = possible(*(([t[c].to_numpy() for c in ("size", "component")] + [np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)]) for t in (probes, others)), least)
-        x, y = probes["row"].to_numpy()[a], others["row"].to_numpy()[b]
-        return pa.table({"row": np.maximum(x, y), "centre": np.minimum(x, y)})
-
-    return probe.select(columns).unionByName(every.select(columns)).groupBy("sketch", "i", "j").applyInArrow(meet, "row long, centre long").distinct()
+    for batch in batches:
+        if batch.num_rows:
+            left, found = blocks(pa.Table.from_batches([*rest, batch]), ended=False)
+            rest = left.combine_chunks().to_batches()
+            yield found
+    if rest:
+        yield blocks(pa.Table.from_batches(rest), ended=True)[1]
 
 
-def possible(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of different component that may be ``least`` alike; ``a`` and ``b`` are sizes, components and parities.
+def possible(first: np.ndarray, met: np.ndarray, probes: np.ndarray, size: np.ndarray, label: np.ndarray, parity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different label that may be ``least`` alike, of blocks that begin at ``first`` and have ``met`` rows and then ``probes`` rows.
 
     A label that only one text has turns one bit of its parities, so at least as many labels differ as bits do.
     """
-    if not len(a[0]) or not len(b[0]):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n, m = a[0][:, None], b[0][None, :]
-    most = ((n + m) * ((1 - least) / (1 + least)) + 1e-6).astype(np.int64)
-    ok = (a[1][:, None] != b[1][None, :]) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
-    bits = np.zeros(ok.shape, np.int16)
-    for k in range(4):
-        bits += np.bitwise_count(a[2][:, k, None] ^ b[2][None, :, k])
-    i, j = np.nonzero(ok & (bits <= most))
-    step = 1 << 16
-    parts = [(i[k : k + step], j[k : k + step]) for k in range(0, max(len(i), 1), step)]
-    keep = np.concatenate([np.bitwise_count(a[2][x] ^ b[2][y]).sum(1) <= most[x, y] for x, y in parts])
-    return i[keep], j[keep]
+    ends = np.cumsum(met * probes)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+        k = np.arange(begin, min(begin + AT_ONCE, int(ends[-1])))
+        block = np.searchsorted(ends, k, side="right")
+        k = k - (ends - met * probes)[block]
+        a, b = first[block] + k % met[block], first[block] + met[block] + k // met[block]
+        n, m = size[a], size[b]
+        ok = (label[a] != label[b]) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
+        a, b = a[ok], b[ok]
+        most = (size[a] + size[b]) * ((1 - least) / (1 + least)) + 1e-6
+        for part in (slice(0, 4), slice(0, None)):  # most are ruled out by a few words
+            ok = np.bitwise_count(parity[a, part] ^ parity[b, part]).sum(1) <= most
+            a, b, most = a[ok], b[ok], most[ok]
+        found.append((a, b))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def deduplicate(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -274,11 +274,10 @@ def test_near_duplicates(docs, texts, empty, odd):
     assert kept.columns == docs.columns and kept.count() == len(got)
 
 
-@pytest.mark.parametrize("small", [4, 256])
-def test_near_duplicates_of_one_large_group(spark, small, monkeypatch):
-    """Many different copies of one text make one class, in small buckets and in large ones; other texts stay out."""
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "CENTRES", 2)
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_duplicates_of_one_large_group(spark, block, monkeypatch):
+    """Many different copies of one text make one class, in one block and in several; other texts stay out."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rnd = random.Random(9)
     base = sentence(rnd, 300).split()
     texts = []
@@ -309,8 +308,6 @@ def classes_of(spark, texts):
 
 def test_near_duplicates_of_chains_in_large_buckets(spark, monkeypatch):
     """Copies of copies: most are like the one that they were made of and one or two more, and unlike the rest of their buckets."""
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    monkeypatch.setattr(neardup, "CENTRES", 2)
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rnd = random.Random(3)
     own = [sentence(rnd, 120).split()]
@@ -334,33 +331,57 @@ def test_near_duplicates_of_a_star_of_thousands(spark):
     assert len(like) > 2900 and like in got
 
 
-def test_members_meet_the_centre_of_a_large_bucket(spark, monkeypatch):
-    """Whoever is in another class than a large bucket's centre was compared with it, also if it was compared with another centre before."""
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    met = set()
-    verify = neardup.verify
-
-    def spy(pairs, texts, least):
-        met.update((r.row, r.centre) for r in pairs.collect())
-        return verify(pairs, texts, least)
-
-    monkeypatch.setattr(neardup, "verify", spy)
+@pytest.mark.parametrize("block", [8, 1024])
+def test_triples_in_large_buckets(spark, block, monkeypatch):
+    """y is like c and x, which are not like each other, twelve times in buckets that they share with hundreds of texts unlike all of them."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rnd = random.Random(6)
     base = sentence(rnd, 105).split()
-    texts = [(i, i, " ".join(changed(rnd, base, 3))) for i in range(60)]
-    got = {r.row: r.class_id for r in neardup.classes(spark.createDataFrame(texts, "row long, doc_id long, text string")).collect()}
-    buckets = collections.defaultdict(set)
-    for i, row in enumerate(neardup.sketches(*neardup.labelled([neardup.words_of(t) for _, _, t in texts])).tolist()):
-        for code in row:
-            buckets[code].add(i)
-    apart = {(i, min(b)) for b in buckets.values() if len(b) > 4 for i in b if got[i] != got[min(b)]}
-    assert len(apart) > 50 and apart <= met
-
-
-@pytest.mark.parametrize("small", [4, 256])
-def test_near_duplicates_of_short_texts(spark, small, monkeypatch):
+    texts = [changed(rnd, base, 4) for _ in range(300)]
+    for _ in range(12):
+        c = changed(rnd, base, 3)
+        texts += [c, y := changed(rnd, c, 1), changed(rnd, y, 1)]
+    rnd.shuffle(texts)
+    texts = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = brute_classes(texts)
+    assert len(want) > 100 and sum(len(x) > 2 for x in want) >= 9
+    assert classes_of(spark, texts) == want
+
+
+def test_near_duplicate_recall(spark):
+    """Over 1,200 documents of all lengths, copies of copies among them, the classes are those of all pairs compared."""
+    rnd = random.Random(21)
+    texts = []
+    while len(texts) < 1200:
+        texts.append(sentence(rnd, rnd.choice([6, 12, 30, 80, 200, 500])).split())
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            own = texts[-1]
+            texts.append(changed(rnd, own, min(len(own), max(1, round(len(own) * rnd.choice([0.004, 0.01, 0.018, 0.024]))))))
+    texts = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    assert classes_of(spark, texts) == brute_classes(texts)
+
+
+def test_possible_loses_no_pair():
+    """Of all pairs of blocks, none that is alike is ruled out by sizes or parities, and hardly any that is not."""
+    rnd = random.Random(2)
+    base = sentence(rnd, 300).split()
+    words = [changed(rnd, base, rnd.randrange(14)) for _ in range(60)] + [sentence(rnd, 280).split() for _ in range(20)]
+    label, size = neardup.labelled(words)
+    own = np.split(label, np.cumsum(size)[:-1])
+    parity = neardup.parities(label, size).view(np.uint64)
+    first, met, probes = np.array([0, 30, 31]), np.array([20, 0, 29]), np.array([10, 1, 20])
+    ids = np.arange(80)
+    a, b = neardup.possible(first, met, probes, size, np.where(ids == 7, 3, ids), parity, 0.8)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    pairs = [(x, y) for f, m, p in zip(first, met, probes, strict=True) for x in range(f, f + m) for y in range(f + m, f + m + p)]
+    alike = {(x, y) for x, y in pairs if neardup.similarity(own[x], own[y], 0.8) > 0}
+    assert alike and alike <= found and len(found) < 1.5 * len(alike) and found <= set(pairs)
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_duplicates_of_short_texts(spark, block, monkeypatch):
     """Pairs that share no sketch at all, 8 words against 9, or hardly any, 9 against 10; and groups of these with one common word more."""
-    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rnd = random.Random(12)
     texts = []
     for n in (1, 3, 5, 7, 8, 9, 10, 12, 14, 18, 24):
