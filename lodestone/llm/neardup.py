@@ -210,7 +210,8 @@ def components(links: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (row, centre) whose texts have at least this similarity.
 
-    Plain joins, so that Spark splits a centre with very many rows over several tasks (adaptive skew joins).
+    Merge joins at every size, so that Spark splits a centre with very many rows over several tasks (adaptive skew
+    joins) and never broadcasts texts for looking small when compressed.
     """
     other = texts.select(F.col("row").alias("centre"), F.col("text").alias("to_text"))
 
@@ -231,7 +232,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 like = pa.array([aligned(known[x][0], *known[y], least) > 0 for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("centre")], ["a", "b"]).filter(like)
 
-    both = pairs.join(texts, "row").join(other, "centre")
+    both = pairs.join(texts.hint("merge"), "row").join(other.hint("merge"), "centre")
     return both.select("row", "centre", "text", "to_text").mapInArrow(align, "a long, b long")
 
 
@@ -261,7 +262,7 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     rows = scratch.keep(rows.drop("text") if written else rows, "sketches", "zstd")
     same = scratch.keep(rows.groupBy("sig").agg(F.min("row").alias("rep")), "same")
     members = _members(rows.join(same.select(F.col("rep").alias("row")), "row", "left_semi"), least)
-    texts = scratch.keep((given if written else rows).select("row", "text").join(members.select("row").distinct(), "row", "left_semi"), "candidates", "zstd")
+    texts = scratch.keep((given if written else rows).select("row", "text").join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "candidates", "zstd")
     tested = scratch.keep(_stars(members), "stars")
     stars = scratch.keep(verify(tested, texts, least), "links")
     labels = scratch.keep(_labels(stars), "labels")
@@ -343,7 +344,7 @@ def _across(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     probe = F.transform(F.sequence(zero, inner - 1), lambda j: F.struct(F.pmod(mine, outer).alias("i"), j.alias("j"), F.lit(True).alias("probe")))
     every = F.transform(F.sequence(zero, outer - 1), lambda i: F.struct(i.alias("i"), F.pmod(mine, inner).alias("j"), F.lit(False).alias("probe")))
     places = F.when(F.col("label") == F.col("main"), every).otherwise(F.concat(probe, every))
-    dealt = own.join(main, "sketch").join(texts, "row").select("sketch", "row", "label", "size", "parity", F.explode(places).alias("at"))
+    dealt = own.join(main, "sketch").join(texts.hint("merge"), "row").select("sketch", "row", "label", "size", "parity", F.explode(places).alias("at"))
     dealt = dealt.select(F.xxhash64("sketch", "at.i", "at.j").alias("block"), "sketch", "at.i", "at.j", "at.probe", "row", "label", "size", "parity")
     dealt = dealt.repartition("block").sortWithinPartitions("block", "sketch", "i", "j", "probe")
     return dealt.mapInArrow(lambda batches: _meet(batches, least), "row long, centre long").distinct()
