@@ -50,8 +50,9 @@ def loose_json(reply: str | Column) -> Column:
 
 
 def stable_key(*parts: str | Column) -> Column:
-    """A key of 32 hexadecimal characters for trimmed, lower-cased parts."""
-    return F.substring(F.sha2(F.concat_ws("::", *[F.trim(F.lower(_col(p))) for p in parts]), 256), 1, 32)
+    """A key of 40 hexadecimal characters for trimmed, lower-cased parts, each written with its length, so that no two lists of parts are alike; a null part is a part of its own kind."""
+    low = [F.trim(F.lower(_col(p))) for p in parts]
+    return F.substring(F.sha2(F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in low]), 256), 1, 40)
 
 
 #: What is redacted, in this order: later patterns see what earlier ones left.
@@ -82,3 +83,82 @@ def redactions(text: str | Column) -> Column:
 
 def clamp(value: str | Column, low: float, high: float) -> Column:
     return F.greatest(F.least(_col(value), F.lit(high)), F.lit(low))
+
+
+def ellipsis(text: str | Column, most: int) -> Column:
+    """The text, or if it is longer than ``most`` characters, as much of it as fits with three dots behind."""
+    t = _col(text)
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t)
+
+
+def url_part(text: str | Column) -> Column:
+    """Percent-encoded for any part of a URL: all but letters, digits and -_.~"""
+    form = F.url_encode(_col(text))
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def word_count(text: str | Column) -> Column:
+    """Runs without white space; null has none."""
+    return F.coalesce(F.regexp_count(_col(text), F.lit(r"\S+")), F.lit(0))
+
+
+def page_count(text: str | Column) -> Column:
+    """Pages between form feeds: 1 and as many as there are form feeds."""
+    return F.coalesce(F.regexp_count(_col(text), F.lit(r"\f")), F.lit(0)) + 1
+
+
+def masked(secret: str | Column, shown: int = 4) -> Column:
+    """Stars but for the last characters; a text of no more characters than these is all stars."""
+    t = _col(secret)
+    n = F.length(t)
+    return F.when(n <= shown, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.repeat(F.lit("*"), n - shown), F.right(t, F.lit(shown))))
+
+
+def plain_reply(reply: str | Column) -> Column:
+    """A free-form reply without the fences around code and without white space around it."""
+    return F.trim(F.regexp_replace(_col(reply), r"(?m)^```[A-Za-z]*[ ]*$", ""), F.lit(" \n"))
+
+
+def words_of_slug(url: str | Column) -> Column:
+    """The last part of a URL's path as words with capitals."""
+    last = F.regexp_extract(_col(url), r"([^/?#]*)/?(?:[?#].*)?$", 1)
+    return F.initcap(F.replace(F.replace(last, F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")))
+
+
+def numbers(text: str | Column, pattern: str, low: int, high: int) -> Column:
+    """The distinct whole numbers that a pattern's first group finds, those between the bounds, in text order."""
+    found = F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), 1), lambda x: x.cast("int"))
+    return F.array_distinct(F.filter(found, lambda x: (x >= low) & (x <= high)))
+
+
+def rule_labels(text: str | Column, rules: list[tuple[str, str]]) -> Column:
+    """The labels of the (label, pattern) rules that match anywhere, in the rules' order, each once."""
+    t = _col(text)
+    return F.array_distinct(F.array_compact(F.array(*[F.when(t.rlike(pattern), F.lit(label)) for label, pattern in rules])))
+
+
+def first_label(text: str | Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
+    """The label of the first rule of which any word is in the text, in any case; null counts as empty."""
+    low = F.lower(F.coalesce(_col(text), F.lit("")))
+    return F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, F.lower(w))), F.lit(label)) for label, words in rules], F.lit(default))
+
+
+def first_amount(text: str | Column, patterns: list[str], over: float) -> Column:
+    """The first amount of the first pattern that finds one greater than ``over``; commas in it don't count."""
+
+    def of(pattern: str) -> Column:
+        found = F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), 1), lambda x: F.try_to_number(F.replace(x, F.lit(","), F.lit("")), F.lit("999999999999.99")).cast("double"))
+        return F.try_element_at(F.filter(found, lambda x: x > over), F.lit(1))
+
+    return F.coalesce(*map(of, patterns))
+
+
+def paragraphs(text: str | Column, least: int) -> Column:
+    """Parts between blank lines, trimmed, those longer than ``least`` characters."""
+    return F.filter(F.transform(F.split(_col(text), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) > least)
+
+
+def hits(text: str | Column, patterns: list[str], last: int) -> Column:
+    """How many of the patterns match in the last characters of the text."""
+    tail = F.right(F.coalesce(_col(text), F.lit("")), F.lit(last))
+    return sum((tail.rlike(p).cast("int") for p in patterns), F.lit(0))

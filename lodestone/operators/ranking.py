@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(rows: DataFrame, key: str, score: Column, limit: int | None = None) -> DataFrame:
-    """key and rank (from 1) by score, the highest first, ties to the smaller key. With a limit only a sort of that many rows is kept."""
-    best = rows.select(key, score.alias("score"))
-    if limit is None:
-        raise ValueError("a ranking of all rows needs one task; give a limit or rank within groups")
-    best = best.orderBy(F.col("score").desc(), key).limit(limit)
+def ranked(rows: DataFrame, key: str, score: Column, limit: int) -> DataFrame:
+    """key and rank (from 1) of the first ``limit`` rows by score, the highest first, ties to the smaller key; no task sorts more rows than that."""
+    best = rows.select(key, score.alias("score")).orderBy(F.col("score").desc(), key).limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), key)))
 
 
@@ -48,3 +45,19 @@ def waterfall(tiers: list[DataFrame], key: str, limit: int, *order: Column) -> D
     others = [c for c in every.columns if c != key]
     once = every.groupBy(key).agg(F.min_by(F.struct(*others), "tier").alias("top")).select(key, "top.*")
     return once.orderBy("tier", *order).limit(limit)
+
+
+def positions(rows: DataFrame, groups: list[str], part: Column, *order: Column) -> DataFrame:
+    """Adds position: each row's place (from 1) in its group by ``order``.
+
+    ``part`` cuts a group into runs of that order (an hour of a time, a range of a number), so a task
+    sorts one part of a group, never a whole hot group. Rows of a null part come first.
+    """
+    dealt = rows.withColumn("_part", part)
+    sizes = dealt.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy(F.col("_part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    renamed = starts.withColumnsRenamed({c: f"_of_{c}" for c in [*groups, "_part"]})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*groups, "_part"]])
+    own = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(renamed, same).withColumn("position", F.col("_start") + F.col("_own")).select(*rows.columns, "position")

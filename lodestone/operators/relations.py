@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import positions
+
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows of which no key is in ``existing`` yet; each key is its own equi-join. Null keys match nothing."""
@@ -49,6 +51,52 @@ def expand_graph(starts: DataFrame, edges: DataFrame, kinds: list[str]) -> DataF
 
 
 def with_fallback(rows: DataFrame, group: str, keep: str) -> DataFrame:
-    """Of each group the rows for which ``keep`` holds, or all of them where it holds for none."""
-    some = rows.groupBy(group).agg(F.max(F.expr(keep).cast("int")).alias("_some"))
-    return rows.join(some, group).filter(F.expr(keep) | (F.col("_some") == 0) | F.col("_some").isNull()).drop("_some")
+    """Of each group the rows for which ``keep`` holds, or all of them where it holds for none; rows of a null group are a group too."""
+    some = rows.groupBy(F.col(group).alias("_group")).agg(F.max(F.expr(keep).cast("int")).alias("_some"))
+    found = rows.join(some, F.col(group).eqNullSafe(F.col("_group")))
+    return found.filter(F.expr(keep) | (F.col("_some") == 0) | F.col("_some").isNull()).drop("_some", "_group")
+
+
+def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows`` marked for broadcast if they are no more than ``most``, counted, else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def append_counted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows to append (of which no key is there yet; of incoming rows with the same keys one) and one row of counts: found, inserted, skipped."""
+    fresh = new_rows(incoming.dropDuplicates(keys), existing, keys)
+    counts = incoming.agg(F.count("*").alias("found")).crossJoin(fresh.agg(F.count("*").alias("inserted")))  # a row each
+    return fresh, counts.withColumn("skipped", F.col("found") - F.col("inserted"))
+
+
+def with_ids(rows: DataFrame, existing: DataFrame, id: str, part: Column, *order: Column) -> DataFrame:
+    """``rows`` with new ids after the largest one of ``existing`` (from 1 if there is none), in this order; see ranking.positions() for ``part``."""
+    last = existing.agg(F.coalesce(F.max(id), F.lit(0)).alias("_last"))  # one row
+    numbered = positions(rows.withColumn("_all", F.lit(0)), ["_all"], part, *order)
+    return numbered.crossJoin(F.broadcast(last)).withColumn(id, F.col("_last") + F.col("position")).drop("_all", "_last", "position")
+
+
+def update(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with the columns of the changes of their key where there are some (at most one a key); adds changed."""
+    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("changed"))
+    out = rows.join(new, F.col(key) == F.col("_key"), "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    return out.withColumns({c: F.when(F.col("changed"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).select(*rows.columns, "changed")
+
+
+def deleted(rows: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows for which ``gone`` doesn't hold (null: they stay), to be written in place of the old ones, and one row of counts: before, deleted."""
+    gone = F.coalesce(gone, F.lit(False))
+    return rows.filter(~gone), rows.agg(F.count("*").alias("before"), F.count_if(gone).alias("deleted"))
+
+
+def fill_blanks(rows: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with the other table's value wherever theirs is null or blank; ``other`` has at most one row a key."""
+    more = other.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
+    blank = {c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "") for c in columns}
+    out = rows.join(more, F.col(key) == F.col("_key"), "left")
+    return out.withColumns({c: F.when(blank[c], F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).select(*rows.columns)
+
+
+def where_if(rows: DataFrame, column: str, wanted: object, every: object = "All") -> DataFrame:
+    """``rows`` with this value, or all of them if ``wanted`` is null or the word for all."""
+    return rows if wanted is None or wanted == every else rows.filter(F.col(column) == F.lit(wanted))

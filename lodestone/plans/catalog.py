@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import cosine
 from lodestone.operators import ranking, relations, search
-from lodestone.plans.views import CASES_SQL, EVIDENCE_SQL, cases, evidence
+from lodestone.plans import loads, mining, retrieval  # noqa: F401  they register their queries
+from lodestone.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from lodestone.plans.views import cases, evidence
 from lodestone.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: A time that stands for now in every report.
 NOW = "2024-01-20 00:00:00"
 TERMS = ["tion", "with", "that", "from", "this"]
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query with its SQL, in which {cases} and {evidence} stand for the views."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql.replace("{cases}", f"({CASES_SQL})").replace("{evidence}", f"({EVIDENCE_SQL})")
-        return f
-
-    return add
-
-
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('fr', 'de') AND n_chars > 500")
 def scan_filter_project(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("lang IN ('fr', 'de') AND n_chars > 500").select("doc_id", "lang", "n_chars")
@@ -49,14 +33,14 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     FROM {cases} c WHERE verified IN (1, 2) QUALIFY row_number() OVER (PARTITION BY section ORDER BY CASE court WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END, year DESC, id) <= 5
 """)
 def court_rank_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = cases(spark, d).filter(F.col("verified").isin(1, 2)).select("id", "court", "year", "section")
+    rows = cases(spark, d, win=False).filter(F.col("verified").isin(1, 2)).select("id", "court", "year", "section")
     court = F.when(F.col("court") == "A", 0).when(F.col("court") == "B", 1).otherwise(2)
     return ranking.top_per_group(rows, "section", 5, court, F.col("year").desc(), F.col("id"))
 
 
 @query("SELECT id, section, court FROM {cases} c WHERE contains(lower(text), 'ation') OR contains(lower(section), 'src1')")
 def multi_col_contains(spark: SparkSession, d: str) -> DataFrame:
-    return cases(spark, d).filter(F.lower("text").contains("ation") | F.lower("section").contains("src1")).select("id", "section", "court")
+    return cases(spark, d, win=False).filter(F.lower("text").contains("ation") | F.lower("section").contains("src1")).select("id", "section", "court")
 
 
 @query("""
@@ -65,12 +49,12 @@ def multi_col_contains(spark: SparkSession, d: str) -> DataFrame:
 """)
 def coverage_pivot(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("court")
-    return cases(spark, d).groupBy("section").agg(F.count("*").alias("total"), F.count_if(c == "A").alias("court_a"), F.count_if(c == "B").alias("court_b"), F.count_if(~c.isin("A", "B")).alias("others"))
+    return cases(spark, d, win=False).groupBy("section").agg(F.count("*").alias("total"), F.count_if(c == "A").alias("court_a"), F.count_if(c == "B").alias("court_b"), F.count_if(~c.isin("A", "B")).alias("others"))
 
 
 @query("SELECT section, court, count(*) AS n FROM {cases} c WHERE section <> '' GROUP BY section, court ORDER BY n DESC, section, court LIMIT 50")
 def two_key_top50(spark: SparkSession, d: str) -> DataFrame:
-    return cases(spark, d).filter("section <> ''").groupBy("section", "court").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "section", "court").limit(50)
+    return cases(spark, d, win=False).filter("section <> ''").groupBy("section", "court").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "section", "court").limit(50)
 
 
 @query("SELECT coalesce(lang, 'none') AS lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY coalesce(lang, 'none')")
@@ -188,11 +172,13 @@ def lookup_in_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 10 = 0 OR value > 100 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+    SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
 """)
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_id % 10 = 0 OR value > 100").withColumn("version", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "value", "version")
-    return relations.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 <> 0"), "user_id", "version").drop("version")
+    """Events up to a day are there, those from then on come in."""
+    e = table(spark, d, "events").withColumn("version", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "value", "version", "ts")
+    late = F.col("ts") >= F.lit(NOW).cast("timestamp_ntz")
+    return relations.upsert(e.filter(~late).drop("ts"), e.filter(late).drop("ts"), "user_id", "version").drop("version")
 
 
 @query("SELECT s_suppkey, s_name, 'open' AS status, CAST(0 AS INTEGER) AS boost FROM supplier")
@@ -209,16 +195,17 @@ def section_filter_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT CAST(o_orderkey AS BIGINT) AS query, CAST(0 AS BIGINT) AS pos, o_custkey % 100 AS node FROM orders WHERE o_orderkey % 50 = 0),
-    e AS (SELECT l_partkey % 100 AS src, l_returnflag AS kind, min(l_orderkey) AS pos, l_suppkey + 1000 AS dst FROM lineitem GROUP BY l_partkey % 100, l_returnflag, l_suppkey),
+    WITH s AS (SELECT o_orderkey AS query, CAST(0 AS BIGINT) AS pos, o_custkey AS node FROM orders),
+    e AS (SELECT l_partkey AS src, l_returnflag AS kind, min(l_orderkey) AS pos, l_suppkey + 1000000000000 AS dst FROM lineitem GROUP BY l_partkey, l_returnflag, l_suppkey),
     f AS (SELECT query, node, 0 AS step, pos AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM s
           UNION ALL SELECT s.query, e.dst, 1, s.pos, CASE e.kind WHEN 'R' THEN 1 ELSE 2 END, e.pos FROM s JOIN e ON e.src = s.node WHERE e.kind IN ('R', 'A')),
     m AS (SELECT query, node, min({'step': step, 'a': a, 'b': b, 'c': c}) AS place_at FROM f GROUP BY query, node)
     SELECT query, node, CAST(row_number() OVER (PARTITION BY query ORDER BY place_at, node) AS INTEGER) AS place FROM m
 """)
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
-    starts = table(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("query"), F.lit(0).alias("pos"), (F.col("o_custkey") % 100).alias("node"))
-    edges = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 100).alias("src"), F.col("l_returnflag").alias("kind"), (F.col("l_suppkey") + 1000).alias("dst")).agg(F.min("l_orderkey").alias("pos"))
+    """From every order along the typed edges of parts to suppliers; a customer's number stands for the part that it asks about."""
+    starts = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), F.lit(0).alias("pos"), F.col("o_custkey").alias("node"))
+    edges = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("kind"), (F.col("l_suppkey") + 1_000_000_000_000).alias("dst")).agg(F.min("l_orderkey").alias("pos"))
     return relations.expand_graph(starts, edges, ["R", "A"])
 
 
@@ -277,9 +264,15 @@ def keyword_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(tx.keywords("text", 4, 8, ["that", "with"]), " ").alias("words"))
 
 
-@query("SELECT event_id, 'k|' || event_type AS listed FROM events")
+@query("""
+    WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'k, ' || event_type || ' ,, z' WHEN 1 THEN '["k", "' || event_type || '"]' WHEN 2 THEN '["k", ' || event_type WHEN 3 THEN ' ' END AS raw FROM events)
+    SELECT event_id, coalesce(array_to_string(CASE WHEN json_valid(raw) AND raw LIKE '[%' THEN json_transform(CASE WHEN json_valid(raw) THEN raw END, '["VARCHAR"]')
+        ELSE list_filter(list_transform(string_split(trim(raw), ','), lambda x: trim(x)), lambda x: x <> '') END, '|'), '') AS listed FROM r
+""")
 def parse_list_fallback(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("k, "), F.col("event_type"))).otherwise(F.concat(F.lit('["k", "'), F.col("event_type"), F.lit('"]')))
+    """Lists with commas, as JSON, as broken JSON, blank and null."""
+    k, kind = F.col("event_id") % 5, F.col("event_type")
+    raw = F.when(k == 0, F.concat(F.lit("k, "), kind, F.lit(" ,, z"))).when(k == 1, F.concat(F.lit('["k", "'), kind, F.lit('"]'))).when(k == 2, F.concat(F.lit('["k", '), kind)).when(k == 3, F.lit(" "))
     return table(spark, d, "events").select("event_id", F.array_join(tx.parse_list(raw), "|").alias("listed"))
 
 
@@ -288,9 +281,9 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).filter("k IS NOT NULL")
 
 
-@query("SELECT c_custkey, substr(sha256('customer::' || trim(lower(c_name))), 1, 32) AS key FROM customer")
+@query("SELECT c_custkey, substr(sha256('8:customer' || CASE WHEN c_mktsegment = 'BUILDING' THEN '-' ELSE length(trim(lower(c_name))) || ':' || trim(lower(c_name)) END), 1, 40) AS key FROM customer")
 def stable_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", tx.stable_key(F.lit("Customer "), "c_name").alias("key"))
+    return table(spark, d, "customer").select("c_custkey", tx.stable_key(F.lit("Customer "), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name"))).alias("key"))
 
 
 @query(f"""
@@ -303,11 +296,11 @@ def deadline_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, step, CAST(CAST(CAST(o_orderdate AS DATE) + CAST(days AS INTEGER) AS DATE) AS VARCHAR) AS due FROM orders, (SELECT unnest(['open', 'check', 'close']) AS step, unnest([0, 7, 30]) AS days) WHERE o_orderkey % 10 = 0
+    SELECT o_orderkey, step, CAST(CAST(CAST(o_orderdate AS DATE) + CAST(days AS INTEGER) AS DATE) AS VARCHAR) AS due FROM orders, (SELECT unnest(['open', 'check', 'close']) AS step, unnest([0, 7, 30]) AS days)
 """)
 def timeline_plan(spark: SparkSession, d: str) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(n).alias("days")) for s, n in (("open", 0), ("check", 7), ("close", 30))])
-    rows = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", "o_orderdate", F.explode(steps).alias("s"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.explode(steps).alias("s"))
     return rows.select("o_orderkey", "s.step", F.date_add(F.col("o_orderdate").cast("date"), F.col("s.days")).cast("string").alias("due"))
 
 
@@ -321,9 +314,16 @@ def pii_redact(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.redact("text").alias("clean"))
 
 
-@query(f"SELECT CAST(sum(len(regexp_extract_all(text, '{tx.REDACTIONS[0][1]}'))) AS BIGINT) AS email, count(*) AS docs FROM documents")
+_PASSES, _COUNTS = ["text AS t0"], []
+for _i, (_kind, _pattern) in enumerate(tx.REDACTIONS):
+    _PASSES.append(f"regexp_replace(t{_i}, '{_pattern}', '[{_kind.upper()}]', 'g') AS t{_i + 1}")
+    _COUNTS.append(f"CAST(sum(len(regexp_extract_all(t{_i}, '{_pattern}'))) AS BIGINT) AS {_kind}")
+
+
+@query(f"SELECT {', '.join(_COUNTS)}, count(*) AS docs FROM (SELECT {', '.join(_PASSES)} FROM documents)")
 def pii_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(tx.redactions("text").alias("r")).agg(F.sum("r.email").alias("email"), F.count("*").alias("docs"))
+    kinds = [F.sum(f"r.{kind}").alias(kind) for kind, _ in tx.REDACTIONS]
+    return table(spark, d, "documents").select(tx.redactions("text").alias("r")).agg(*kinds, F.count("*").alias("docs"))
 
 
 @query("SELECT conv_id, turn, role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations")
@@ -338,26 +338,21 @@ def passage_verify(spark: SparkSession, d: str) -> DataFrame:
     The first and last word of a passage may be parts of a document's words, those between are whole.  A passage
     of less than three words has none between and is compared with every document.
     """
-    words = F.split("text", r"\s")
-    length = F.least(F.size(words) - 2, F.lit(5))
-    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), length.alias("length"), F.concat_ws(" ", F.slice(words, 2, F.greatest(length, F.lit(1)))).alias("inner"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    lengths = passages.filter("length > 0").select("length").distinct()  # five at most
-    starts = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.concat_ws(" ", F.slice("words", i, F.col("length"))))
-    parts = docs.select("doc_id", words.alias("words")).join(F.broadcast(lengths), F.size("words") >= F.col("length"))
-    parts = parts.select("doc_id", "length", F.explode(F.array_distinct(starts)).alias("inner"))
-    found = parts.join(passages.filter("length > 0"), ["length", "inner"]).join(docs, "doc_id").select("item_id", "doc_id", "text", "passage")
-    short = docs.join(passages.filter("length <= 0"), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    return found.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").unionByName(short).distinct()
-
-
-@query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) FILTER (WHERE k <= 5) AS first_types FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) GROUP BY user_id")
+    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return search.containing(table(spark, d, "documents").select("doc_id", "text"), passages, "doc_id", "item_id")
+
+
+@query("""
+    SELECT user_id, CAST((k - 1) // 50 AS BIGINT) AS page, string_agg(event_type, ',' ORDER BY k) AS types
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) GROUP BY user_id, (k - 1) // 50
+""")
 def group_to_list(spark: SparkSession, d: str) -> DataFrame:
-    """The first five event types of each user; rows beyond them are cut before they are collected."""
+    """The event types of each user in order, as lists in pages of fifty, so that no user is one row, however active."""
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    first = ranking.top_per_group(rows, "user_id", 5, F.col("ts"), F.col("event_id"))
-    listed = F.array_sort(F.collect_list(F.struct("rank", "event_type")))
-    return first.groupBy("user_id").agg(F.array_join(F.transform(listed, lambda x: x["event_type"]), ",").alias("first_types"))
+    placed = ranking.positions(rows, ["user_id"], F.date_trunc("hour", "ts"), F.col("ts"), F.col("event_id"))
+    listed = F.array_sort(F.collect_list(F.struct("position", "event_type")))
+    pages = placed.groupBy("user_id", F.floor((F.col("position") - 1) / 50).alias("page"))
+    return pages.agg(F.array_join(F.transform(listed, lambda x: x["event_type"]), ",").alias("types"))
 
 
 @query("""

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from lodestone.sources.tables import table
 
 
-def cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with their quality label as cases."""
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+def cases(spark: SparkSession, folder: str, win: bool = True) -> DataFrame:
+    """Documents as cases, with their quality label; without ``win`` the labels are not joined."""
+    docs = table(spark, folder, "documents")
+    docs = docs.join(table(spark, folder, "labels"), "doc_id", "left") if win else docs
     court = F.when(F.col("lang") == "en", "A").when(F.col("lang") == "fr", "B").when(F.col("lang") == "de", "C").otherwise("D")
-    return docs.join(labels, "doc_id", "left").select(
+    return docs.select(
         F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("section"), court.alias("court"),
-        (2005 + F.col("doc_id") % 20).alias("year"), F.col("quality").alias("win"), (F.col("doc_id") % 3).alias("verified"), "text",
+        (2005 + F.col("doc_id") % 20).alias("year"), *([F.col("quality").alias("win")] if win else []), (F.col("doc_id") % 3).alias("verified"), "text",
     )
 
 

@@ -11,10 +11,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_files(spark: SparkSession, path: str, least_chars: int = 0) -> DataFrame:
-    """Whole text files: path, text. Shorter ones than ``least_chars`` are left out."""
+def text_files(spark: SparkSession, path: str, least_chars: int = 0, limit: int | None = None) -> DataFrame:
+    """Whole text files: path, text. Shorter ones than ``least_chars`` are left out; with a limit, those first by path stay."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files.filter(F.length("text") >= least_chars)
+    files = files.filter(F.length("text") >= least_chars)
+    return files if limit is None else files.orderBy("path").limit(limit)
 
 
 def header_field(text: str | Column, name: str) -> Column:
@@ -22,6 +23,13 @@ def header_field(text: str | Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text if isinstance(text, Column) else F.col(text), rf"(?im)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
 
 
+def unescaped(xml: Column) -> Column:
+    """Text of an XML value: the five named entities, the ampersand last."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        xml = F.replace(xml, F.lit(f"&{name};"), F.lit(sign))
+    return xml
+
+
 def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """The items of RSS feeds: the feed's other columns, pos (from 0), title, link, published, summary.
 
@@ -29,8 +37,9 @@ def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """
 
     def field(name: str) -> Column:
-        raw = F.regexp_extract(F.col("item"), rf"(?s)<{name}(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 1)
-        return F.nullif(F.trim(raw), F.lit(""))
+        raw = F.regexp_extract(F.col("item"), rf"(?s)<{name}(?:\s[^>]*)?>(<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 2)
+        quoted = F.col("item").rlike(rf"<{name}(?:\s[^>]*)?><!\[CDATA\[")
+        return F.nullif(F.trim(F.when(quoted, raw).otherwise(unescaped(raw))), F.lit(""))
 
     others = [c for c in feeds.columns if c != xml]
     items = feeds.select(*others, F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item[\s>].*?</item>"), 0)).alias("pos", "item"))
