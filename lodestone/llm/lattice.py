@@ -3,11 +3,10 @@
 A word is made of pieces of an existing vocabulary, the last of which is a
 word-final one.  Every way to cut the word into pieces counts: a forward
 recursion in log space adds up all of them.  The pieces' weights start equal;
-rounds of expectation-maximisation over all distinct words of the training
-documents re-estimate them, so that they describe words not seen before.  A word
-that training has is one more path through its lattice, weighted by its
-discounted count; what the discount frees is shared out by the pieces.  A text
-is its words and one end, and the probabilities of all texts add up to one.
+rounds of expectation-maximisation over the words of the training documents,
+each as often as it occurs, re-estimate them.  A text is its words and one end:
+every token is the end with the share that ends have in training, or else a word with its marginal
+probability, so the probabilities of all texts add up to one.
 
 Words are counted in hash buckets.  A chunk of documents sends each of its distinct words
 once, with its count, so no word is in a bucket more often than there are chunks; a
@@ -34,7 +33,7 @@ from lodestone.llm.bpe import byte_characters
 #: Bytes of text of a chunk; bytes of words in a bucket, about.
 CHUNK, BUCKET = 8 << 20, 2 << 20
 #: Rounds of expectation-maximisation, and what is added to each expected count.
-ROUNDS, ADDED = 2, 0.05
+ROUNDS, ADDED = 4, 0.05
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,17 +125,18 @@ class Pieces:
             out[rows] = forward[-1]
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected number of each piece in the words."""
+    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Expected number of each piece in the words, each of which occurs ``counts`` times."""
         total = np.zeros(len(self.weight))
-        for _, edges, forward in self.lattice(words):
+        for rows, edges, forward in self.lattice(words):
+            times = counts[rows]
             n = len(forward) - 1
             backward = np.full(forward.shape, -np.inf)
             backward[n] = 0
             for (i, j), (on, piece) in sorted(edges.items(), key=lambda e: -e[0][0]):
                 backward[i, on] = np.logaddexp(backward[i, on], backward[j, on] + self.weight[piece])
             for (i, j), (on, piece) in edges.items():
-                share = np.exp(forward[i, on] + self.weight[piece] + backward[j, on] - forward[n, on])
+                share = times[on] * np.exp(forward[i, on] + self.weight[piece] + backward[j, on] - forward[n, on])
                 total += np.bincount(piece, share, len(total))
         return total
 
@@ -158,7 +158,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
 
     ``docs`` has doc_id, text and held_out (null: false).  Returns doc_id,
     held_out, n_tokens (words and one end), n_known (tokens that training has), train_tokens,
-    base_score (add-one unigram, log10) and score (lattice model, log10), one
+    base_score (add-one unigram, log10) and score (the lattice's marginal probability, log10), one
     row for each row of ``docs``, repeated and null ids included.  A null text
     counts as empty: one token, its end.  Without a training row every count is 0 and all
     pieces weigh the same.  An empty table gives no rows.  Words of any length
@@ -227,16 +227,13 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             "data": pa.array([counts.astype("<i8").tobytes(), *(p.astype("<i4").tobytes() for p in at)], pa.binary()),
             "tokens": pa.array([int(counts.sum()), *[None] * n], pa.int64()),
             "types": pa.array([int((counts > 0).sum()), *[None] * n], pa.int64()),
-            "once": pa.array([int((counts == 1).sum()), *[None] * n], pa.int64()),
-            "twice": pa.array([int((counts == 2).sum()), *[None] * n], pa.int64()),
         })
 
-    merged = scratch.keep(sent.groupBy("bucket").applyInArrow(merge, "bucket int, chunk long, words binary, data binary, tokens long, types long, once long, twice long"), "vocabulary")
+    merged = scratch.keep(sent.groupBy("bucket").applyInArrow(merge, "bucket int, chunk long, words binary, data binary, tokens long, types long"), "vocabulary")
     vocabulary = merged.filter("chunk is null")
-    train_words, types, once, twice = (x or 0 for x in vocabulary.agg(*map(F.sum, ("tokens", "types", "once", "twice"))).first())
+    train_words, types = (x or 0 for x in vocabulary.agg(F.sum("tokens"), F.sum("types")).first())
     ends = chunks.filter("bucket < 0").agg(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
     distinct, n_all = types + (ends > 0), train_words + ends
-    discount = once / (once + 2 * twice) if once else 0.5
     pieces = Pieces.read(path)
     for _ in range(ROUNDS if types else 0):
 
@@ -244,8 +241,9 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             total = np.zeros(len(model.weight))
             for batch in batches:
                 for words, data in zip(batch.column("words").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                    own = split_words(words)
-                    total += model.expected([own[i] for i in np.flatnonzero(np.frombuffer(data, "<i8")).tolist()])
+                    own, counts = split_words(words), np.frombuffer(data, "<i8")
+                    known = np.flatnonzero(counts)
+                    total += model.expected([own[i] for i in known.tolist()], counts[known])
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
 
@@ -253,7 +251,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         for r in vocabulary.select("words", "data").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # at most a row for each piece
             expected[r.piece] += r.n
         pieces = replace(pieces, weight=np.log(expected / expected.sum()))
-    stop, new = math.log10((ends + 1) / (n_all + 2)), (discount * types + 1) / (n_all + 2)
+    stop, go = math.log10((ends + 1) / (n_all + 2)), math.log10((train_words + 1) / (n_all + 2))
 
     def answer(group: pa.Table) -> pa.Table:
         """For each chunk: count and score of each of its words in this bucket."""
@@ -261,11 +259,8 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         chunk, words, data = (group.column(c).to_pylist() for c in ("chunk", "words", "data"))
         own = chunk.index(None)
         counts = np.frombuffer(data[own], "<i8")
-        with np.errstate(divide="ignore"):
-            seen = np.log(np.maximum(counts - discount, 0) / (n_all + 2))
-        value = np.logaddexp(seen, math.log(new) + model.score(split_words(words[own]))) / math.log(10)
         both = np.empty(len(counts), [("count", "<i8"), ("score", "<f8")])
-        both["count"], both["score"] = counts, value
+        both["count"], both["score"] = counts, go + model.score(split_words(words[own])) / math.log(10)
         rest = [k for k in range(len(chunk)) if k != own]
         return pa.table({
             "chunk": pa.array([chunk[k] for k in rest], pa.int64()),

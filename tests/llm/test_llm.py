@@ -516,7 +516,7 @@ def test_lattice_is_the_sum_over_segmentations():
     got = model.score(words)
     for w, s in zip(words, got, strict=True):
         assert s == pytest.approx(math.log(brute_lattice(w, pieces, model.inner)), rel=1e-9)
-    assert model.expected([b"the"]).sum() >= 1
+    assert model.expected([b"the"], np.array([3])).sum() >= 3
 
 
 def test_score(spark, docs, texts, empty, odd):
@@ -537,6 +537,44 @@ def test_score(spark, docs, texts, empty, odd):
     assert lattice.score(odd.withColumn("held_out", F.lit(True)), PATH).count() == 6
 
 
+def segmentations(word, pieces):
+    """All ways to cut ``word`` into pieces, the last one word-final."""
+    out = [[(word, True)]] if (word, True) in pieces else []
+    for k in range(1, len(word)):
+        if (word[:k], False) in pieces:
+            out += [[(word[:k], False), *rest] for rest in segmentations(word[k:], pieces)]
+    return out
+
+
+def test_score_is_the_marginal_probability(spark):
+    """Scores of all documents against weights and sums over all segmentations, worked out one by one."""
+    import json
+
+    vocab = json.load(open(PATH, encoding="utf-8"))["model"]["vocab"]
+    of = {c: b for b, c in enumerate(bpe.byte_characters())}
+    final = {n: n.endswith("</w>") and n != "</w>" for n in vocab}
+    pieces = {(bytes(of[c] for c in n.removesuffix("</w>" if final[n] else "")), final[n]) for n in vocab}
+    train = ["the Nation the nation wide", "the red é wide", None, "then then"]
+    asked = ["nation", "unknown wide", "", "thé the", None, "nationwide"]
+    words = collections.Counter(w for t in train for w in (t or "").encode().lower().split())
+    weight = dict.fromkeys(pieces, 1 / len(vocab))
+    for _ in range(lattice.ROUNDS):
+        expected = dict.fromkeys(pieces, lattice.ADDED)
+        for w, n in words.items():
+            ways = [(x, math.prod(weight[p] for p in x)) for x in segmentations(w, pieces)]
+            for x, likely in ways:
+                for p in x:
+                    expected[p] += n * likely / sum(y for _, y in ways)
+        total = sum(expected.values())
+        weight = {p: x / total for p, x in expected.items()}
+    n = sum(words.values())
+    rows = [(i, t, False) for i, t in enumerate(train)] + [(i + 10, t, True) for i, t in enumerate(asked)]
+    got = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), PATH).collect()}
+    for i, t, _ in rows:
+        own = [math.log10((n + 1) / (n + 4 + 2) * sum(math.prod(weight[p] for p in x) for x in segmentations(w, pieces))) for w in (t or "").encode().lower().split()]
+        assert got[i] == pytest.approx(sum(own) + math.log10((4 + 1) / (n + 4 + 2)), rel=1e-6)
+
+
 def test_scores_are_probabilities(spark):
     """All one-word texts over a small alphabet have less than all probability, and what training has gets more of it."""
     train = spark.createDataFrame([(0, "a b a"), (1, "a")], "doc_id long, text string").withColumn("held_out", F.lit(False))
