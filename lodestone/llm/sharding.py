@@ -1,33 +1,61 @@
 """Sharding by longest processing time: whole groups, sorted by size, each to the least-loaded shard, through a heap.
 
-Groups that weigh at least a ten-thousandth part of a shard stand alone in the
-queue; there are at most ``shards * FINE`` of them.  Lighter groups are gathered by
-a hash of their key into ``shards * FINE`` bundles, each an item of the queue.
-So the heap sees a bounded number of items, whatever the input, and the loads
-differ by no more than the lightest items.
+Documents of equal text are a group.  Groups of one size are alike to the heap, so
+it works on a histogram: how many groups there are of each size, the largest size first.  A run of
+many groups of one size is dealt in one step that ends in the same loads as one group after
+the other.  The groups then take their planned places by joining on their rank within their size.
+
+The histogram has a row for each size that occurs.  As these sizes are different and sum up to no more than all
+bytes, there are at most the square root of twice the bytes: 15 million for 100 TB.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Items of a shard's load: a group of at least 1/FINE of a mean shard is an item of its own.
-FINE = 512
-#: Parts of a shard in which slots are numbered.
+from lodestone.llm import scratch
+
+#: Parts of a shard, and of the groups of one size, in which rows are numbered.
 PARTS = 512
 
 
-def longest_first(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each item: by size, the largest first, to the shard with the least load (ties: lower shard)."""
+def longest_first(sizes: np.ndarray, counts: np.ndarray, shards: int) -> list[np.ndarray]:
+    """For each size, in falling order, how many of its ``counts`` groups go to each shard.
+
+    Each group goes to the shard with the least load (ties: the lower shard).
+    """
+    loads = np.zeros(shards, np.int64)
     heap = [(0, k) for k in range(shards)]
-    out = [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        load, k = heap[0]
-        out[i] = k
-        heapq.heapreplace(heap, (load + sizes[i], k))
+    out = []
+    for size, n in zip(sizes.tolist(), counts.tolist(), strict=True):
+        own = np.zeros(shards, np.int64)
+        if n <= 4 * shards:
+            for _ in range(n):
+                load, k = heap[0]
+                own[k] += 1
+                heapq.heapreplace(heap, (load + size, k))
+            loads += own * size
+        else:
+            # a shard takes its next group at the load it has then; the n least (load, shard) of all are taken
+            low, high = int(loads.min()), int(loads.min()) + size * n
+            while low < high:  # the largest level under which no more than n groups are taken
+                level = (low + high + 1) // 2
+                if int((-((loads - level) // size)).clip(0).sum()) <= n:
+                    low = level
+                else:
+                    high = level - 1
+            own = (-((loads - low) // size)).clip(0)
+            at = np.flatnonzero((loads + own * size) == low)[: n - int(own.sum())]
+            own[at] += 1
+            loads += own * size
+            heap = [(x, k) for k, x in enumerate(loads.tolist())]
+            heapq.heapify(heap)
+        out.append(own)
     return out
 
 
@@ -50,22 +78,24 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("own"),
-    ).withColumn("bundle", F.pmod(F.xxhash64("own"), F.lit(shards * FINE)).cast("int"))
-    groups = rows.groupBy("own", "bundle").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    least = max(1, total // (shards * FINE))
-    heavy = F.col("bytes") >= least  # at most shards * FINE groups
-    queue = groups.groupBy(F.when(heavy, F.col("own")).alias("own"), F.when(~heavy, F.col("bundle")).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    items = sorted(queue.collect(), key=lambda r: (-r.bytes, r.own or b"", r.bundle or 0))  # at most 2 * shards * FINE rows
-    placed = longest_first([r.bytes for r in items], shards)
-    alone = spark.createDataFrame([(bytes(r.own), k) for r, k in zip(items, placed, strict=True) if r.own is not None], "own binary, alone int")
-    bundles = spark.createDataFrame([(r.bundle, k) for r, k in zip(items, placed, strict=True) if r.own is None], "bundle int, together int")
-    found = rows.join(F.broadcast(alone), "own", "left").join(F.broadcast(bundles), "bundle", "left")  # both at most shards * FINE rows
-    found = found.select("doc_id", "size", "text_crc32", "own", F.coalesce("alone", "together").alias("shard"))
-    found = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "own"), F.lit(PARTS)).cast("int"))
-    counts = found.groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * PARTS rows
+    )
+    # written, so that all that follows counts and places the same groups
+    groups = scratch.keep(rows.groupBy("own").agg(F.sum("size").alias("bytes")).withColumn("sub", F.pmod(F.xxhash64("own"), F.lit(PARTS)).cast("int")), "groups")
+    parts = scratch.keep(groups.groupBy("bytes", "sub").agg(F.count("*").alias("n")), "parts")
+    found = parts.groupBy("bytes").agg(F.sum("n").alias("n")).toPandas().sort_values("bytes", ascending=False)  # a row for each size: see above
+    plan = longest_first(found["bytes"].to_numpy(np.int64), found["n"].to_numpy(np.int64), shards)
+    # of each size: where each of its shards' groups end in the order of their ranks
+    ends = [np.cumsum(own[own > 0]).tolist() for own in plan]
+    planned = spark.createDataFrame(pd.DataFrame({"bytes": found["bytes"], "ends": ends, "shards": [np.flatnonzero(own).tolist() for own in plan]}), "bytes long, ends array<long>, shards array<int>")
+    before = Window.partitionBy("bytes").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
+    starts = parts.select("bytes", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).join(planned, "bytes")
+    rank = F.col("first") + F.row_number().over(Window.partitionBy("bytes", "sub").orderBy("own"))
+    placed = groups.join(starts, ["bytes", "sub"]).withColumn("rank", rank)
+    placed = placed.select("own", F.col("shards")[F.size(F.filter("ends", lambda e: e < F.col("rank")))].alias("shard"))
+    dealt = scratch.keep(rows.join(placed, "own").withColumn("part", F.pmod(F.xxhash64("doc_id", "own"), F.lit(PARTS)).cast("int")), "dealt")
+    counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * PARTS rows
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = found.withColumn("at", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "own")))
-    out = numbered.join(F.broadcast(starts), ["shard", "part"])
+    firsts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    at = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "own"))
+    out = dealt.withColumn("at", at).join(F.broadcast(firsts), ["shard", "part"])  # at most shards * PARTS rows
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at") - 1).cast("long").alias("slot"))

@@ -424,17 +424,43 @@ def test_sharding(docs, texts, empty, odd):
         load[r.shard] += size
     assert all(len(s) == 1 for s in groups.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # groups in falling order, each to the least-loaded shard: the loads are those of the plainest version
+    weight = collections.Counter()
+    for _, t in texts:
+        weight[t or ""] += len((t or "").encode()) + 16
+    assert sorted(load[k] for k in range(5)) == sorted(plain_loads(weight.values(), 5))
     assert sharding.assign(empty, 5).count() == 0 and sharding.assign(odd, 5).count() == 6
 
 
-def test_longest_first_is_near_even():
-    rnd = random.Random(1)
-    sizes = [rnd.randrange(1, 1000) for _ in range(2000)]
-    load = collections.Counter()
-    for s, k in zip(sizes, sharding.longest_first(sizes, 7), strict=True):
-        load[k] += s
-    assert max(load.values()) - min(load.values()) <= 5
-    assert sharding.longest_first([5, 5, 5], 2) == [0, 1, 0]
+def plain_loads(sizes, shards):
+    load = [0] * shards
+    for s in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += s
+    return load
+
+
+def test_sharding_is_near_even(spark):
+    """Thousands of groups of few sizes and some of their own: the loads differ by no more than the least group."""
+    rnd = random.Random(3)
+    texts = [f"{i:05d}" + "x" * rnd.choice([3, 40, 41, 700]) for i in range(4000)] + [f"{i}y" * rnd.randrange(1, 900) for i in range(200)] + ["z" * 30] * 500
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 7).groupBy("shard").agg(F.sum("size").alias("load"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    loads = [r.load for r in got]
+    assert len(loads) == 7 and max(loads) - min(loads) <= 5 + 3 + 16 and all(r.last == r.n - 1 for r in got)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_longest_first_is_near_even(shards):
+    """Runs of a size, short and long, behind a huge group too, end in the loads of one group after the other."""
+    rnd = random.Random(shards)
+    for _ in range(40):
+        sizes = sorted(rnd.sample(range(1, 1000), 8), reverse=True)
+        counts = [rnd.choice([1, 2, 5, 30, 200]) for _ in sizes]
+        if rnd.random() < 0.3:
+            sizes, counts = [30_000, *sizes], [1, *counts]
+        plan = sharding.longest_first(np.array(sizes), np.array(counts), shards)
+        assert [int(own.sum()) for own in plan] == counts
+        loads = sum(own * size for own, size in zip(plan, sizes, strict=True)).tolist()
+        assert loads == plain_loads([s for s, n in zip(sizes, counts, strict=True) for _ in range(n)], shards)
 
 
 # packing
