@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import scratch
 from lodestone.llm.bpe import lengths
 
 #: Lengths of one block; sums run inside blocks and over the blocks' totals, never over all lengths in one task.
@@ -53,5 +54,5 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """length_histogram() with suffix_sums()."""
-    return suffix_sums(length_histogram(docs, path))
+    """length_histogram() with suffix_sums(); the histogram is written, so that its two readers don't encode twice."""
+    return suffix_sums(scratch.keep(length_histogram(docs, path), "histogram"))

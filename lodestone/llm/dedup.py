@@ -28,8 +28,8 @@ from lodestone.llm.arrow import slices
 
 #: Bytes of a block.
 BLOCK = 1024
-#: Hash buckets in which blocks are sorted and ranked; a name is bucket << 40 | rank.
-BUCKETS = 1 << 14
+#: Bytes of items in a hash bucket, in which they are sorted and ranked, about, and buckets at least; a name is bucket << 40 | rank.
+BUCKET, BUCKETS = 64 << 20, 1 << 14
 #: Bytes of distinct blocks a task remembers before it starts anew (it then sends a block again, which costs only bytes).
 REMEMBERED = 32 << 20
 ITEM = "row long, pos int, of_row long, of_pos int, item binary, doc_id long, digest string"
@@ -91,7 +91,8 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def named(items: DataFrame) -> DataFrame:
     """row and names (array of long, by position) from a written table of items."""
-    bucket = F.pmod(F.xxhash64("item"), F.lit(BUCKETS)).cast("long")
+    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("item"), F.lit(max(BUCKETS, min(total // BUCKET, (1 << 22) - 1)))).cast("long")
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("item"))
     own = items.filter("item is not null").select("row", "pos", bucket.alias("bucket"), "item")
     # each item at its first place in a task, with its name

@@ -28,17 +28,36 @@ FEATURES = 4096
 ROUNDS = 12
 #: Penalty for each further language: nats for each trigram, and times the log of their number.
 PER_TRIGRAM, PER_LOG = 0.01, 3.0
-#: Documents whose counts are held as one matrix.
-DOCS = 256
+#: Documents whose counts are held as one matrix, their bytes at most, and bytes of a longer text that are counted at once.
+DOCS, BYTES = 256, 4 << 20
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all texts in one array (lower case; other ASCII than letters counts as a space) and their number for each text."""
-    padded = [f" {t} ".encode() for t in pc.utf8_lower(pc.fill_null(texts, "")).to_pylist()]
+def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Texts in lower case with a space on either side, with their places, about BYTES at a time.
+
+    A longer text comes in parts, each with the last two bytes of the part before it, so that each of its trigrams is in one part.
+    """
+    places, held, size = [], [], 0
+    for k, t in enumerate(pc.utf8_lower(pc.fill_null(texts, "")).to_pylist()):
+        own = f" {t} ".encode()
+        for at in range(0, max(1, len(own) - 2), BYTES):
+            part = own[at : at + BYTES + 2]
+            if held and size + len(part) > BYTES:
+                yield np.array(places), held
+                places, held, size = [], [], 0
+            places.append(k)
+            held.append(part)
+            size += len(part)
+    if held:
+        yield np.array(places), held
+
+
+def features(padded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed trigrams of all texts in one array (other ASCII than lower-case letters counts as a space) and their number for each text."""
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     raw = _LETTER[np.frombuffer(b"".join(padded), np.uint8)].astype(np.uint32)
     code = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
@@ -53,9 +72,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def matrix(texts: pa.Array) -> np.ndarray:
     """Trigram counts: one row for each text."""
-    hashed, sizes = features(texts)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(row * FEATURES + hashed, minlength=len(sizes) * FEATURES).reshape(len(sizes), FEATURES).astype(np.float32)
+    total = np.zeros((len(texts), FEATURES), np.float32)
+    for place, padded in pieces(texts):
+        hashed, sizes = features(padded)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        total[place] += np.bincount(row * FEATURES + hashed, minlength=len(sizes) * FEATURES).reshape(len(sizes), FEATURES)  # a text is there once
+    return total
 
 
 @dataclass
@@ -109,13 +131,14 @@ def train(docs: DataFrame) -> Model:
         for batch in batches:
             for part in slices(batch, "text"):
                 langs = np.array(part.column("lang").to_pylist(), object)
-                hashed, sizes = features(part.column("text"))
-                owner = np.repeat(np.arange(len(sizes)), sizes)
                 for lang in set(langs):
-                    own = langs == lang
                     seen = total.setdefault(lang, np.zeros(FEATURES + 1, np.int64))
-                    seen[:FEATURES] += np.bincount(hashed[own[owner]], minlength=FEATURES)
-                    seen[FEATURES] += int(own.sum())
+                    seen[FEATURES] += int((langs == lang).sum())
+                for place, padded in pieces(part.column("text")):
+                    hashed, sizes = features(padded)
+                    owner = np.repeat(place, sizes)
+                    for lang in set(langs[place]):
+                        total[lang][:FEATURES] += np.bincount(hashed[(langs == lang)[owner]], minlength=FEATURES)
         for lang, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], ["lang", "feature", "n"])
 

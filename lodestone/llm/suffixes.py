@@ -45,8 +45,12 @@ REACH = WINDOW - GRAM + 1
 CHUNK, PIECE = 8 << 20, 1 << 20
 #: Bytes sent to a bucket, about.
 BUCKET = 4 << 20
-#: Chunks from which splitters are sampled, and the part of their anchors that is.
+#: Chunks from which splitters are sampled, at least, and the part of their anchors that is.
 SAMPLED, EVERY = 8, 16
+#: Of many chunks, one of so many is sampled; so many times EVERY chunks and more are sampled the more thinly the more there are.
+ONE_OF, THIN = 64, 4096
+#: Sampled keys for each range at least, so that a splitter comes twice only where its key is frequent.
+KEYS = 10
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -228,7 +232,7 @@ def _find(docs: DataFrame, carry: list[str]) -> DataFrame:
     chunks = max(1, -(-total // CHUNK))
     # enough buckets that one holds about 128 MB, as far as Spark allows
     parts = min(100_000, max(scratch.partitions(spark), total >> 27))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
     # bucketed by chunk: the texts are shuffled once, each later pass brings only its notes to them
     name = f"lodestone_texts_{uuid.uuid4().hex}"
     given = rows.filter("doc_id is not null").select(chunk, "doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha"), *carried).repartition(parts, "chunk")
@@ -311,12 +315,14 @@ def _find(docs: DataFrame, carry: list[str]) -> DataFrame:
     def sample(group: pa.Table, notes: pa.Table) -> pa.Table:
         segments, lead, _, owner, _, _ = suffixes(group, notes)
         stay, _ = combine(segments, owner)
-        rows = np.flatnonzero(stay)[::EVERY].tolist()
+        rows = np.flatnonzero(stay)[::every].tolist()
         return pa.table({"key": pa.array([segments[i][lead[i] : lead[i] + GRAM] for i in rows], pa.binary())})
 
-    some = with_notes(masks, sample, "key binary", bare.filter(F.col("chunk") < SAMPLED))
-    keys = np.sort(np.array([bytes(r.key) for r in some.collect()], f"S{GRAM}"))  # at most SAMPLED chunks' keys
-    ranges = max(2 * parts, len(keys) * EVERY * chunks // min(chunks, SAMPLED) * 80 // BUCKET)
+    sampled, every = min(chunks, max(SAMPLED, chunks // ONE_OF)), max(EVERY, chunks // THIN)
+    some = with_notes(masks, sample, "key binary", bare.filter(F.col("chunk") < sampled)).toArrow()  # THIN / ONE_OF chunks' keys at most, or those of SAMPLED by EVERY
+    keys = np.sort(np.array(some.column("key").to_pylist(), f"S{GRAM}"))
+    ranges = max(2 * parts, len(keys) * every * chunks // sampled * 80 // BUCKET)
+    ranges = max(2, min(ranges, len(keys) // KEYS))
     splitters = keys[np.linspace(0, len(keys) - 1, ranges + 1).astype(int)[1:-1]] if len(keys) else keys
     value, times = np.unique(splitters, return_counts=True)
     dealt = set(value[times > 1].tolist())  # leading bytes of runs that lie in several buckets

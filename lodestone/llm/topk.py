@@ -1,8 +1,10 @@
 """Exact top-k by inner product with norm buckets.
 
 Vectors are grouped by length into buckets, the longest first, and stored as
-blocks of a bounded number of rows.  A block of queries walks the blocks of a
-segment in that order and keeps its k best so far.  The kth score divided by the
+blocks of a bounded number of rows.  The longest vectors of all give each query a first
+threshold; queries with like needs share a block, and a block of vectors is sent to a
+block of queries only if its longest vector is as long as the least of these needs.
+A block of queries walks the blocks of a segment in falling order of length and keeps its k best so far.  The kth score divided by the
 query's length and the bucket's longest length is a local cosine threshold: over
 1, the whole bucket is pruned; else the bucket is pruned either by length (only
 vectors long enough) or by the query's largest coordinate (only vectors whose
@@ -13,12 +15,15 @@ leaves fewer.  What is left is verified by exact integer products.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import scratch
+
 #: Rows of a block of vectors, rows of a block of queries, blocks of a segment.
 VECTORS, QUERIES, SEGMENT = 4096, 2048, 8
 #: Norm buckets at most; the driver holds one bound for each.
@@ -102,11 +107,22 @@ def search(query_ids: np.ndarray, queries: np.ndarray, blocks: list[Block], seed
     return out
 
 
+def needs(matrix: np.ndarray, ids: np.ndarray, seeds: Block | None, k: int) -> np.ndarray:
+    """Of each query: the length under which a vector can't be among its k best; 0 if any can."""
+    out = np.zeros(len(ids))
+    for i in range(len(ids) if seeds is not None else 0):
+        scores = products(seeds.matrix, matrix[i])[seeds.ids != ids[i]]
+        length = math.sqrt(float((matrix[i].astype(np.float64) ** 2).sum()))
+        if len(scores) >= k and length:
+            out[i] = max(0.0, float(np.partition(scores, len(scores) - k)[len(scores) - k]) / length * (1 - SLACK))
+    return out
+
+
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row with all vectors of a group, sorted by id."""
+    """One row with all vectors of a group, sorted by id, the longest one's length and the least need."""
     pdf = pdf.sort_values("vec_id", kind="stable")
     matrix = np.array(pdf["vector"].tolist(), np.int64).reshape(len(pdf), int(pdf["dim"].iloc[0]))
-    row = {"dim": int(pdf["dim"].iloc[0]), "block": int(pdf["block"].iloc[0]), "n": len(pdf), "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "data": matrix.tobytes()}
+    row = {"dim": int(pdf["dim"].iloc[0]), "block": int(pdf["block"].iloc[0]), "top": float(pdf["norm"].max()), "need": float(pdf["need"].min()), "n": len(pdf), "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "data": matrix.tobytes()}
     return pd.DataFrame([row])
 
 
@@ -121,8 +137,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     with another vec_id and as many components.  Returns query_id, rank (from
     1), vec_id, score; ties go to the smaller vec_id, and all candidates come
     where there are fewer than ``k``.  Rows with a null id, a null vector or a
-    null component take no part; a query id or vector id that occurs twice
-    gives a set of rows for it once, and candidates for each of its rows.  Products must fit
+    null component take no part; a query id that occurs several times asks once, with the least of its vectors (component by
+    component), and each row of a repeated vector id is a candidate.  Products must fit
     a long.  Empty tables give no rows.
     """
     spark = vectors.sparkSession
@@ -132,7 +148,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<long>").alias("vector")).filter(usable).withColumn("dim", F.size("vector"))
 
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    asked = shape(queries).dropDuplicates(["vec_id"])
+    asked = shape(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     everything = shape(vectors).withColumn("norm", norm)
     n, n_queries = everything.count(), asked.count()
     seeds = everything.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).select("dim", "vec_id", "vector").toPandas()  # at most SEEDS rows
@@ -153,12 +169,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     parts = pick({b: -(-sizes[b] // VECTORS) for b in sizes})
     block = pick(start) + F.pmod(F.xxhash64("vec_id", "vector"), parts).cast("int")
-    packed = "dim int, block int, n int, ids binary, data binary"
-    v = dealt.withColumn("block", block).select("dim", "block", "vec_id", "vector").groupBy("dim", "block").applyInPandas(_pack, packed)
+    packed = "dim int, block int, top double, need double, n int, ids binary, data binary"
+    # both written: their small columns say which blocks meet before their vectors are sent
+    v = dealt.withColumn("block", block).select("dim", "block", "norm", F.lit(0.0).alias("need"), "vec_id", "vector")
+    v = scratch.keep(v.groupBy("dim", "block").applyInPandas(_pack, packed), "vectors")
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for dim, own in pdf.groupby("dim"):
+                matrix = np.array(own["vector"].tolist(), np.int64).reshape(len(own), int(dim))
+                yield own.assign(need=needs(matrix, own["vec_id"].to_numpy(np.int64), first.get(int(dim)), k))
+
+    wanted = scratch.keep(asked.select("vec_id", "vector", "dim", F.lit(0.0).alias("need")).mapInPandas(ask, "vec_id long, vector array<long>, dim int, need double"), "queries")
     q_blocks = -(-n_queries // QUERIES)
-    q = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_pack, packed)
-    q = q.select("dim", F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    grid = v.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(q, ["dim", "q_block"]).withColumn("segment", F.floor(F.col("block") / SEGMENT))
+    # by need as far as blocks of two needs go, by hash within one
+    groups = min(BUCKETS, q_blocks)
+    steps = sorted(set(wanted.approxQuantile("need", [i / groups for i in range(1, groups)], 0.1 / groups))) if groups > 1 else []
+    step = F.lit(0) if not steps else F.size(F.filter(F.array(*map(F.lit, steps)), lambda c: c < F.col("need")))
+    each = -(-q_blocks // (len(steps) + 1))
+    q_block = step * each + F.pmod(F.xxhash64("vec_id"), F.lit(each)).cast("int")
+    q = wanted.select("dim", q_block.alias("block"), F.lit(0.0).alias("norm"), "need", "vec_id", "vector").groupBy("dim", "block").applyInPandas(_pack, packed)
+    q = scratch.keep(q.select("dim", F.col("block").alias("q_block"), "need", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "asked")
+    places = v.select("dim", "block", "top", F.explode(F.sequence(F.lit(0), F.lit(each * (len(steps) + 1) - 1))).alias("q_block"))
+    met = places.join(q.select("dim", "q_block", "need"), ["dim", "q_block"]).filter("top >= need").select("dim", "block", "q_block")
+    grid = met.join(v.drop("top", "need"), ["dim", "block"]).join(q.drop("need"), ["dim", "q_block"]).withColumn("segment", F.floor(F.col("block") / SEGMENT))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf.sort_values("block").itertuples())
