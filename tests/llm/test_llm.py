@@ -83,6 +83,7 @@ def brute_top(vectors, queries, k):
 def test_top_k(spark, dim, monkeypatch):
     monkeypatch.setattr(topk, "VECTORS", 50)
     monkeypatch.setattr(topk, "SEEDS", 40)
+    monkeypatch.setattr(topk, "QUERIES", 8)
     rnd = random.Random(dim)
     vectors = [(i, [int(rnd.gauss(0, 20) * (1 + (i % 7 == 0) * 5)) for _ in range(dim)]) for i in range(400)]
     vectors += [(i, vectors[3][1]) for i in range(400, 460)] + [(i, [0] * dim) for i in range(460, 470)] + [(500, [1] * (dim + 1))]
