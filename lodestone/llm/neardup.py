@@ -289,7 +289,8 @@ def _members(reps: DataFrame, least: float) -> DataFrame:
     several = scratch.keep(buckets.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "several")
     # a row has SKETCHES buckets, or a few more if it is short
     popularity = F.sum("n").over(Window.partitionBy("row"))
-    out = scratch.keep(buckets.join(several, "sketch").select("sketch", "row", popularity.alias("popularity")), "members")
+    # merge joins at every size: how many buckets there are grows with the corpus
+    out = scratch.keep(buckets.join(several.hint("merge"), "sketch").select("sketch", "row", popularity.alias("popularity")), "members")
     scratch.drop(several)
     return out
 
@@ -325,7 +326,7 @@ def _rarest(labels: DataFrame, least: float) -> DataFrame:
     in any order that is the same for all rows.  Labels that only one row has come first and are not returned.
     """
     common = scratch.keep(labels.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "common")
-    held = labels.join(common, "sketch").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sketch"))).alias("held"))
+    held = labels.join(common.hint("merge"), "sketch").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sketch"))).alias("held"))
     first = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - (F.col("size") - F.size("held"))
     return held.select("row", F.explode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).select("row", F.col("col.sketch").alias("sketch"))
 
