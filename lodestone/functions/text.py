@@ -162,3 +162,29 @@ def hits(text: str | Column, patterns: list[str], last: int) -> Column:
     """How many of the patterns match in the last characters of the text."""
     tail = F.right(F.coalesce(_col(text), F.lit("")), F.lit(last))
     return sum((tail.rlike(p).cast("int") for p in patterns), F.lit(0))
+
+
+def references(text: str | Column, patterns: list[str], least: int) -> Column:
+    """All that the patterns find, pattern by pattern, in text order, each once, those of at least ``least`` characters; null text has none."""
+    t = F.coalesce(_col(text), F.lit(""))
+    found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), 0) for p in patterns]))
+    return F.array_distinct(F.filter(found, lambda x: F.length(x) >= least))
+
+
+def abbreviated(amount: str | Column) -> Column:
+    """An amount in millions or thousands, rounded towards zero to a tenth, or whole if it is less than a thousand."""
+    a = _col(amount)
+    whole = F.floor(F.abs(a)).cast("long")
+
+    def tenths(unit: int, sign: str) -> Column:
+        return F.concat(F.floor(whole / unit).cast("string"), F.lit("."), (F.floor(whole / (unit // 10)) % 10).cast("string"), F.lit(sign))
+
+    size = F.when(whole >= 1_000_000, tenths(1_000_000, "M")).when(whole >= 1000, tenths(1000, "K")).otherwise(whole.cast("string"))
+    return F.concat(F.when(a <= -1, "-").otherwise(""), size)
+
+
+def plain_name(name: str | Column) -> Column:
+    """A party's name without a form of address before it, without "and others" behind it, white space collapsed."""
+    bare = F.regexp_replace(_col(name), r"(?i)^\s*((mr|mrs|ms|dr|messrs)\b\.?\s*)+", "")
+    bare = F.regexp_replace(bare, r"(?i)[\s,]*(\band others\b|&\s*others\b)\s*\.?\s*$", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))

@@ -17,3 +17,8 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, 0 where one has no length."""
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+
+
+def hashed(word: str | Column, n: int = 64) -> Column:
+    """Which of ``n`` (at most 256) components a word counts for, by its digest; null has none."""
+    return F.conv(F.substring(F.md5(F.col(word) if isinstance(word, str) else word), 1, 2), 16, 10).cast("int") % n

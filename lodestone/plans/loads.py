@@ -162,3 +162,20 @@ def weeks_ahead(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 1) AS even FROM lineitem")
 def round_half_even(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 4, 1).alias("even"))
+
+
+@query("SELECT name, nation FROM (VALUES ('ASIA', 8), ('ATLANTIS', 1), ('LEMURIA', 2)) s(name, nation) WHERE name NOT IN (SELECT r_name FROM region)")
+def seed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed rows that the table doesn't have yet."""
+    seeds = spark.createDataFrame([("ASIA", 8), ("ATLANTIS", 1), ("LEMURIA", 2)], "name string, nation int")
+    return relations.new_rows(seeds, table(spark, d, "region").select(F.col("r_name").alias("name")), ["name"])
+
+
+@query("""
+    SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS kept, count(*) FILTER (WHERE l_returnflag = 'A') AS partly,
+           round((count(*) FILTER (WHERE l_returnflag = 'N') + 0.5::DOUBLE * count(*) FILTER (WHERE l_returnflag = 'A')) / count(*), 6) AS rate FROM lineitem GROUP BY l_suppkey
+""")
+def outcome_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes by supplier and their rate: a kept line counts whole, one kept in part a half, others only in the total."""
+    counts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "N").alias("kept"), F.count_if(F.col("l_returnflag") == "A").alias("partly"))
+    return counts.withColumn("rate", F.round((F.col("kept") + F.lit(0.5) * F.col("partly")) / F.col("n"), 6))

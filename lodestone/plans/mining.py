@@ -216,3 +216,46 @@ def feed_reader(spark: SparkSession, d: str) -> DataFrame:
     two = F.concat(F.lit('<item x="1">\n<title><![CDATA[raw &amp; '), F.col("lang"), F.lit("]]></title>"), link[1], F.lit("</item>"))
     feeds = docs_of(spark, d).select("doc_id", F.concat(F.lit("<rss><channel><title>t</title>"), one, two, F.lit("</channel></rss>")).alias("xml"))
     return feed_items(feeds).filter("summary IS NULL").select("doc_id", "pos", "title", "link")
+
+
+_FOUND = "list_concat(regexp_extract_all(text, '[0-9]{2,}'), regexp_extract_all(text, '[a-z]+ing'))"
+
+
+@query(f"""
+    WITH f AS (SELECT doc_id, list_filter({_FOUND}, lambda x: length(x) >= 3) AS n FROM documents)
+    SELECT doc_id, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), ' ') AS found, upper(n[1]) AS first FROM f
+""")
+def references(spark: SparkSession, d: str) -> DataFrame:
+    """All references of several forms in a text, and the first one in capitals."""
+    found = tx.references("text", ["[0-9]{2,}", "[a-z]+ing"], 3)
+    return docs_of(spark, d).select("doc_id", F.array_join(found, " ").alias("found"), F.upper(F.try_element_at(found, F.lit(1))).alias("first"))
+
+
+@query("""
+    WITH w AS (SELECT c_custkey, c_acctbal * (c_custkey % 1000) AS a, CAST(floor(abs(c_acctbal * (c_custkey % 1000))) AS BIGINT) AS u FROM customer)
+    SELECT c_custkey, CASE WHEN a <= -1 THEN '-' ELSE '' END || CASE WHEN u >= 1000000 THEN (u // 1000000) || '.' || (u // 100000 % 10) || 'M' WHEN u >= 1000 THEN (u // 1000) || '.' || (u // 100 % 10) || 'K' ELSE CAST(u AS VARCHAR) END AS short FROM w
+""")
+def abbreviated_amounts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", tx.abbreviated(F.col("c_acctbal") * (F.col("c_custkey") % 1000)).alias("short"))
+
+
+@query("SELECT s_suppkey, s_name AS party, s_name || ' v ' || n_name AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def party_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Names as they stand in headings, cleaned, and a title of two of them."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    written = F.concat(F.lit(" Messrs.  "), F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, ", and Others. ").otherwise(" & others"))
+    party = tx.plain_name(written)
+    rows = table(spark, d, "supplier").join(F.broadcast(nations), "s_nationkey")  # 25 nations
+    return rows.select("s_suppkey", party.alias("party"), F.concat_ws(" v ", party, "n_name").alias("title"))
+
+
+@query("""
+    SELECT d.doc_id AS doc_id, substr(coalesce(text, ''), 1, 120) || ' / ' || coalesce(lang, 'unknown') AS facts, CASE WHEN source IS NULL THEN 'none' ELSE 'from ' || source END AS origin,
+           coalesce('quality ' || quality, 'not rated') AS holding FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id
+""")
+def aspect_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Three texts of each document, of its beginning, its origin and its rating, with defaults for what is missing."""
+    rated = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    facts = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 120), F.lit(" / "), F.coalesce("lang", F.lit("unknown")))
+    docs = docs_of(spark, d).select("doc_id", facts.alias("facts"), F.coalesce(F.concat(F.lit("from "), "source"), F.lit("none")).alias("origin"))
+    return docs.join(rated, "doc_id", "left").withColumn("holding", F.coalesce(F.concat(F.lit("quality "), F.col("quality").cast("string")), F.lit("not rated"))).drop("quality")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.functions.vectors import hashed
 from lodestone.operators import ranking, relations, search
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
@@ -126,3 +127,44 @@ def evidence_order(spark: SparkSession, d: str) -> DataFrame:
     region = F.when(F.col("n_regionkey") == 2, 0).when(F.col("n_regionkey") == 0, 1).otherwise(2)
     first = ranking.ranked(rows, "c_custkey", F.struct((-region).alias("region"), "c_acctbal"), 100)
     return first.select("c_custkey", F.col("rank").alias("place"))
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS word FROM documents), c AS (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 2)) AS INTEGER) % 64 AS bucket, count(*) AS n FROM w GROUP BY ALL)
+    SELECT doc_id, bucket, round(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY doc_id) AS DOUBLE)), 6) AS weight FROM c
+""")
+def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A unit vector of 64 components for every text, of its words' hashed counts; components that aren't zero. Counts are merged before they are shuffled."""
+    words = table(spark, d, "documents").select("doc_id", F.explode(tx.tokens("text")).alias("word"))
+    counts = words.groupBy("doc_id", hashed("word", 64).alias("bucket")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n").cast("double") * F.col("n")).over(Window.partitionBy("doc_id")))  # 64 rows at most
+    return counts.select("doc_id", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
+
+
+@query(f"""
+    WITH p AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))),
+    b AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:3] AS words FROM (SELECT item_id, list_filter({_TOKENS}, lambda x: length(x) >= 4) AS w FROM benchmark)),
+    k AS (SELECT DISTINCT item_id FROM b JOIN (SELECT {_TOKENS} AS w FROM documents) t ON list_has_all(w, words) WHERE len(words) = 3)
+    SELECT item_id, CASE WHEN item_id IN (FROM p) THEN 'passage' WHEN item_id IN (FROM k) THEN 'words' ELSE 'none' END AS by, CASE WHEN item_id IN (FROM p) THEN 0.9 WHEN item_id IN (FROM k) THEN 0.75 ELSE 0.0 END::DOUBLE AS certainty FROM benchmark
+""")
+def verified_in_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How an item is verified: its beginning stands in a document, or else its first words all do, or else it is not."""
+    passages = prefix_lookup(spark, d).select("item_id", F.when(F.col("doc_id") >= 0, "passage").alias("one"))
+    words = all_keywords(spark, d).select("item_id").distinct().withColumn("two", F.lit("words"))
+    by = F.coalesce("one", "two", F.lit("none"))
+    found = passages.join(words, "item_id", "left").select("item_id", by.alias("by"))
+    return found.withColumn("certainty", F.when(F.col("by") == "passage", 0.9).when(F.col("by") == "words", 0.75).otherwise(0.0))
+
+
+@query("""
+    SELECT doc_id, CAST(CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])with([^a-z0-9]|$)') THEN 4 ELSE 0 END + contains(lower(text), 'tion')::INT + contains(lower(text), 'und')::INT
+           + CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 ELSE 1 END + CASE WHEN n_chars >= 1000 THEN 2 WHEN n_chars >= 300 THEN 1 ELSE 0 END AS INTEGER) AS score FROM documents
+""")
+def relevance_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points for a whole word, for each term, for a language and for a size, as one expression over the scan."""
+    low = F.lower("text")
+    word = F.when(low.rlike("(^|[^a-z0-9])with([^a-z0-9]|$)"), 4).otherwise(0)
+    terms = sum((F.coalesce(F.contains(low, F.lit(t)), F.lit(False)).cast("int") for t in ("tion", "und")), F.lit(0))
+    lang = F.when(F.col("lang") == "en", 3).when(F.col("lang") == "de", 2).otherwise(1)
+    size = F.when(F.col("n_chars") >= 1000, 2).when(F.col("n_chars") >= 300, 1).otherwise(0)
+    return table(spark, d, "documents").select("doc_id", (word + terms + lang + size).alias("score"))

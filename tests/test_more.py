@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.functions.vectors import hashed
 from lodestone.operators import ranking, relations, search
 from lodestone.sources.tables import feed_items, text_files
 
@@ -46,6 +47,10 @@ def test_text_functions(spark):
     assert one(spark, tx.hits(x, ["a", "b$"], 2), "aab", "abc", "", None) == [2, 0, 0, 0]
     assert one(spark, tx.first_label(x, [("one", ["A"]), ("two", ["b"])], "none"), "xa", "B", "", None) == ["one", "two", "none", "none"]
     assert one(spark, tx.rule_labels(x, [("p", "^a"), ("q", "b"), ("p", "c")]), "cab", "", None) == [["q", "p"], [], []]
+    assert one(spark, tx.references(x, ["[0-9]+", "[a-z]+"], 2), "ab 12 ab 3 c", "", None) == [["12", "ab"], [], []]
+    assert one(spark, tx.abbreviated(x.cast("double")), "0.9", "-0.5", "999.9", "-1000", "1999.9", "1234567", "-25000000", None) == ["0", "0", "999", "-1.0K", "1.9K", "1.2M", "-25.0M", None]
+    assert one(spark, tx.plain_name(x), " Mr. Dr A  B, and others.", "Drake & Others", "and others", "", None) == ["A B", "Drake", "", "", None]
+    assert one(spark, hashed(x, 256), "a", "", None) == [0x0C, 0xD4, None]
     keys = one(spark, tx.stable_key("x", F.lit(None).cast("string")), "A ", "a", "a-", None) + one(spark, tx.stable_key(F.lit(None).cast("string"), "x"), "a")
     assert keys[0] == keys[1] and len(set(keys)) == 4 and all(len(k) == 40 for k in keys)
 
