@@ -139,7 +139,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def decide(numbered: DataFrame) -> DataFrame:
     """exact_duplicates() for rows that carry a number of their own in the column row, which is returned too."""
     rows = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = scratch.keep(rows.mapInArrow(blocks, ITEM), "blocks")
+    with scratch.small_batches(rows.sparkSession):
+        items = scratch.keep(rows.mapInArrow(blocks, ITEM), "blocks")
     meta = items.filter("digest is not null").select("row", "doc_id", "digest")
     own = scratch.keep(identities(items).join(meta, "row"), "identities")
     scratch.drop(items)

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder; made, and set as the checkpoint folder, only where the session names none."""
@@ -27,6 +31,17 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about ``most`` bytes (or one longer row) in jobs started inside; Spark's own limit counts rows, whatever their texts' length."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+
+
 def keep(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``frame`` to the shared folder and return the written table; for whole texts ``zstd`` takes less disk."""
     spark = frame.sparkSession
