@@ -188,3 +188,16 @@ def plain_name(name: str | Column) -> Column:
     bare = F.regexp_replace(_col(name), r"(?i)^\s*((mr|mrs|ms|dr|messrs)\b\.?\s*)+", "")
     bare = F.regexp_replace(bare, r"(?i)[\s,]*(\band others\b|&\s*others\b)\s*\.?\s*$", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def redacted_values(text: str | Column) -> Column:
+    """What redact() replaces, as an array of structs: kind, pos (from 0, within its kind) and value."""
+    left, found = _col(text), []
+
+    def of(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("value")))
+
+    for kind, pattern in REDACTIONS:
+        found.append(of(kind, F.coalesce(F.regexp_extract_all(left, F.lit(pattern), 0), F.array().cast("array<string>"))))
+        left = F.regexp_replace(left, pattern, f"[{kind.upper()}]")
+    return F.concat(*found)

@@ -100,3 +100,18 @@ def fill_blanks(rows: DataFrame, other: DataFrame, key: str, columns: list[str])
 def where_if(rows: DataFrame, column: str, wanted: object, every: object = "All") -> DataFrame:
     """``rows`` with this value, or all of them if ``wanted`` is null or the word for all."""
     return rows if wanted is None or wanted == every else rows.filter(F.col(column) == F.lit(wanted))
+
+
+def joined_lines(rows: DataFrame, group: str, order: str, text: str, open: Column) -> DataFrame:
+    """group, order and text of each line; a line for which ``open`` holds takes the next one of its group with it, which then is no line of its own.
+
+    A line that has been taken takes none. ``order`` is unique in its group; a last open line stays as it is; a null ``open`` counts as false.
+    """
+    lines = Window.partitionBy(group).orderBy(order)
+    runs = rows.select(group, order, text, F.coalesce(open, F.lit(False)).alias("_open"))
+    runs = runs.withColumn("_run", F.sum((~F.col("_open")).cast("int")).over(lines))  # open lines in a row have the number of the closed one before them
+    place = F.row_number().over(Window.partitionBy(group, "_run", "_open").orderBy(order))
+    first = runs.withColumn("_first", F.col("_open") & (place % 2 == 1))
+    next_, taken = F.lead(text).over(lines), F.coalesce(F.lag("_first").over(lines), F.lit(False))
+    both = F.when(F.col("_first") & next_.isNotNull(), F.concat(F.col(text), F.lit(" "), next_)).otherwise(F.col(text))
+    return first.select(group, order, both.alias("_text"), taken.alias("_taken")).filter("NOT _taken").select(group, order, F.col("_text").alias(text))

@@ -132,3 +132,8 @@ def search_index(index: DataFrame, sizes: DataFrame, query: list[str], k: int, k
         hit = hit.join(keep.select(key), key, "left_semi")
     scores = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(sizes)).groupBy(key).agg(F.round(F.sum(each), 6).alias("score"))
     return ranked(scores, key, F.col("score"), k)
+
+
+def new_postings(index: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The postings to append to an index: those of documents that have none in it yet."""
+    return postings(docs.join(index.select(key).distinct(), key, "left_anti"), key, text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import cosine
 from lodestone.operators import ranking, relations, search
-from lodestone.plans import loads, mining, retrieval  # noqa: F401  they register their queries
+from lodestone.plans import loads, mining, retrieval, streams  # noqa: F401  they register their queries
 from lodestone.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from lodestone.plans.views import cases, evidence
 from lodestone.sources.tables import table

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import ranking
+from lodestone.operators import ranking, relations
 from lodestone.plans.registry import query
-from lodestone.sources.tables import feed_items, table
+from lodestone.sources.tables import feed_items, headed, table
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
@@ -259,3 +259,54 @@ def aspect_texts(spark: SparkSession, d: str) -> DataFrame:
     facts = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 120), F.lit(" / "), F.coalesce("lang", F.lit("unknown")))
     docs = docs_of(spark, d).select("doc_id", facts.alias("facts"), F.coalesce(F.concat(F.lit("from "), "source"), F.lit("none")).alias("origin"))
     return docs.join(rated, "doc_id", "left").withColumn("holding", F.coalesce(F.concat(F.lit("quality "), F.col("quality").cast("string")), F.lit("not rated"))).drop("quality")
+
+
+@query("""
+    WITH l AS (SELECT conv_id, turn, text, NOT ends_with(text, '.') AS open FROM conversations),
+    r AS (SELECT *, sum(CASE WHEN open THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM l),
+    f AS (SELECT *, open AND row_number() OVER (PARTITION BY conv_id, run, open ORDER BY turn) % 2 = 1 AS first FROM r),
+    b AS (SELECT conv_id, turn, CASE WHEN first THEN text || coalesce(' ' || lead(text) OVER w, '') ELSE text END AS text, coalesce(lag(first) OVER w, false) AS taken FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, text FROM b WHERE NOT taken
+""")
+def continued_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that don't end with a full stop take the next turn with them."""
+    return relations.joined_lines(table(spark, d, "conversations"), "conv_id", "turn", "text", ~F.col("text").endswith("."))
+
+
+@query("SELECT doc_id, 'http://x/' || doc_id || '?a: b' AS url, source || ' ' || lang AS title, CAST(CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS VARCHAR) AS date, length(text) AS chars FROM documents WHERE length(text) >= 500")
+def headed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with lines of fields at their head, parsed; those with a short body are left out."""
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("string")
+    head = F.concat(F.lit("URL: http://x/"), F.col("doc_id").cast("string"), F.lit("?a: b\nTITLE:  "), "source", F.lit(" "), "lang", F.lit(" \nDATE: "), date, F.lit("\n\n"), "text")
+    parsed = docs_of(spark, d).select("doc_id", headed(head, "URL", "TITLE", "DATE").alias("p")).filter(F.length("p.body") >= 500)
+    return parsed.select("doc_id", "p.url", "p.title", F.try_to_date("p.date").cast("string").alias("date"), F.length("p.body").cast("long").alias("chars"))
+
+
+_PASSES, _VALUES = ["doc_id", "text AS t0"], []
+for _i, (_kind, _pattern) in enumerate(tx.REDACTIONS):
+    _PASSES.append(f"regexp_replace(t{_i}, '{_pattern}', '[{_kind.upper()}]', 'g') AS t{_i + 1}")
+    _VALUES.append(f"SELECT '{_kind}' AS kind, doc_id, unnest(v) AS value, generate_subscripts(v, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(t{_i}, '{_pattern}') AS v FROM p)")
+
+
+@query(f"""
+    WITH p AS (SELECT {', '.join(_PASSES)} FROM documents), v AS ({' UNION ALL '.join(_VALUES)}), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id, pos) AS k FROM v)
+    SELECT kind, count(*) AS n, string_agg(CASE WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE repeat('*', length(value) - 4) || right(value, 4) END, ' | ' ORDER BY k) FILTER (WHERE k <= 2) AS samples FROM r GROUP BY kind
+""")
+def redaction_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many values of each kind are redacted, and the first two of them, masked."""
+    each = docs_of(spark, d).select("doc_id", F.inline(tx.redacted_values("text")))
+    counts = each.groupBy("kind").agg(F.count("*").alias("n"))
+    first = ranking.top_per_group(each, "kind", 2, F.col("doc_id"), F.col("pos")).select("kind", F.struct("rank", tx.masked("value").alias("value")).alias("s"))
+    samples = first.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["value"]), " | ").alias("samples"))  # two at most
+    return counts.join(samples, "kind")
+
+
+@query("""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source || ' ' || lang || ' tion the'), '[^a-z0-9]+'), lambda x: x <> '') AS s FROM documents),
+    b AS (SELECT doc_id, list_concat(s, t[1:6]) AS l, s, t[1:6] AS t FROM w)
+    SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS every, array_to_string(list_filter(t, lambda x, i: NOT list_contains(s, x) AND list_position(t, x) = i), ' ') AS more FROM b
+""")
+def ordered_union(spark: SparkSession, d: str) -> DataFrame:
+    """The words of two lists, each once, in the order in which they come first, and those that only the second one has."""
+    own, first = tx.tokens(F.concat_ws(" ", "source", "lang", F.lit("tion the"))), F.slice(tx.tokens("text"), 1, 6)
+    return docs_of(spark, d).select("doc_id", F.array_join(F.array_union(own, first), " ").alias("every"), F.array_join(F.array_except(first, own), " ").alias("more"))

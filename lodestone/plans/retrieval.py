@@ -168,3 +168,36 @@ def relevance_points(spark: SparkSession, d: str) -> DataFrame:
     lang = F.when(F.col("lang") == "en", 3).when(F.col("lang") == "de", 2).otherwise(1)
     size = F.when(F.col("n_chars") >= 1000, 2).when(F.col("n_chars") >= 300, 1).otherwise(0)
     return table(spark, d, "documents").select("doc_id", (word + terms + lang + size).alias("score"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, text, {_TOKENS} AS w FROM documents), c AS (SELECT doc_id, text, len(w) AS n, {_TF} FROM t), s AS (SELECT count(*) AS docs, avg(n) AS mean, {_DF} FROM c),
+    q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 5),
+    one AS (SELECT doc_id, row_number() OVER (ORDER BY round({_BM25}, 6) DESC, doc_id) AS rank FROM c, s WHERE tf0 + tf1 + tf2 > 0 QUALIFY rank <= 50),
+    two AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE contains(lower(text), 'tion') QUALIFY rank <= 50),
+    v AS (SELECT vec_id AS doc_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / ({_NORM.format('embedding')} * {_NORM.format('qe')}), 6) AS score FROM embeddings, q),
+    three AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM v QUALIFY rank <= 50),
+    f AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score FROM (FROM one UNION ALL FROM two UNION ALL FROM three) GROUP BY doc_id ORDER BY rrf_score DESC, doc_id LIMIT 20)
+    SELECT f.doc_id AS doc_id, rrf_score, lang, source FROM f LEFT JOIN documents d ON d.doc_id = f.doc_id
+""")
+def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Three ranked lists (terms, a keyword, a vector) fused, and the rows of what is found."""
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    terms = search.bm25(docs.select("doc_id", "text"), TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    near = search.neighbours(vectors, list(vectors.filter("vec_id = 5").first().embedding)).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))  # one vector
+    keyword = docs.filter(F.lower("text").contains("tion")).select("doc_id", F.col("n_chars").alias("score"))
+    fused = ranking.rrf([ranking.ranked(x, "doc_id", F.col("score"), 50) for x in (terms, keyword, near)], "doc_id")
+    best = fused.select("doc_id", F.round("rrf_score", 9).alias("rrf_score")).orderBy(F.col("rrf_score").desc(), "doc_id").limit(20)
+    return docs.select("doc_id", "lang", "source").join(F.broadcast(best), "doc_id", "right").select("doc_id", "rrf_score", "lang", "source")  # 20 rows
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, lang, unnest(list_distinct({_TOKENS})) AS term FROM documents)
+    SELECT term, count(*) AS df, count(*) FILTER (WHERE lang IS DISTINCT FROM 'en') AS added FROM w GROUP BY term
+""")
+def index_sync(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the English documents takes up the others; in how many documents each term then is, and how many of these came in."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    index = search.postings(docs.filter("lang = 'en'"))
+    every = index.withColumn("came", F.lit(0)).unionByName(search.new_postings(index, docs).withColumn("came", F.lit(1)))
+    return every.groupBy("term").agg(F.count("*").alias("df"), F.sum("came").alias("added"))

@@ -44,3 +44,11 @@ def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     others = [c for c in feeds.columns if c != xml]
     items = feeds.select(*others, F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item[\s>].*?</item>"), 0)).alias("pos", "item"))
     return items.select(*others, "pos", field("title").alias("title"), field("link").alias("link"), field("pubDate").alias("published"), field("description").alias("summary"))
+
+
+def headed(text: str | Column, *names: str) -> Column:
+    """A text that begins with ``NAME: value`` lines up to a blank one, as a struct: each name in lower case, and body, what follows the blank line (all of it if there are no such lines)."""
+    whole = text if isinstance(text, Column) else F.col(text)
+    head = F.regexp_extract(whole, r"(?s)^((?:[A-Za-z]+:[^\n]*\n)+)\n", 1)
+    body = F.when(head != "", F.substring(whole, F.length(head) + 2, F.length(whole))).otherwise(whole)
+    return F.struct(*[header_field(head, name).alias(name.lower()) for name in names], body.alias("body"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.relations import new_rows
@@ -27,3 +31,26 @@ def append_new(stream: DataFrame, target: str, key: str, checkpoint: str) -> Str
 def first_seen(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """The first event of each key within a watermark; state is dropped as the watermark passes."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def windowed_counts(stream: DataFrame, time: str, every: str, late: str, *keys: str) -> DataFrame:
+    """Rows in each window of event time and for each of the keys: start, the keys, n; a window is given out once no more than ``late`` rows can come."""
+    counts = stream.withWatermark(time, late).groupBy(F.window(time, every).alias("_window"), *keys).agg(F.count("*").alias("n"))
+    return counts.select(F.col("_window.start").alias("start"), *keys, "n")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a stream's table or state: in the session's ``spark.checkpoint.dir``, or on the machine itself where a local session names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="lodestone-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Run a stream in append mode over what is there, and return what it wrote."""
+    target = new_folder(spark, name)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start(target).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(target)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import hashed
 from lodestone.operators import ranking, relations, search
-from lodestone.sources.tables import feed_items, text_files
+from lodestone.sources.tables import feed_items, headed, text_files
+from lodestone.streaming.sync import run_to_table, windowed_counts
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -119,3 +120,34 @@ def test_feeds_and_files(spark, tmp_path):
         (tmp_path / f"{name}.txt").write_text(text)
     assert [r.path[-5:] for r in text_files(spark, str(tmp_path), 5, 1).collect()] == ["a.txt"]
     assert text_files(spark, str(tmp_path)).count() == 3
+
+
+def test_joined_lines(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("a", 4, "w."), ("a", 5, "v"), ("b", 1, "q."), ("b", 2, None), ("b", 3, "r"), (None, 1, "s"), (None, 2, "t.")]
+    lines = spark.createDataFrame(rows, "g string, k int, t string")
+    got = relations.joined_lines(lines, "g", "k", "t", ~F.col("t").endswith(".")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", 1, "x y"), ("a", 3, "z w."), ("a", 5, "v"), ("b", 1, "q."), ("b", 2, None), ("b", 3, "r"), (None, 1, "s t.")]))
+    assert relations.joined_lines(lines.limit(0), "g", "k", "t", F.lit(True)).count() == 0
+
+
+def test_redacted_values_and_heads(spark):
+    values = one(spark, tx.redacted_values(F.col("x")), "a@b.org 10.0.0.1 c@d.org", "", None)
+    assert [[(v.kind, v.pos, v.value) for v in row] for row in values] == [[("email", 0, "a@b.org"), ("email", 1, "c@d.org"), ("ip", 0, "10.0.0.1")], [], []]
+    heads = one(spark, headed(F.col("x"), "URL", "DATE"), "URL: u\nTITLE:\n\nbody\n\nDATE: no", "no head\nDATE: d", "", None)
+    assert [(h.url, h.date, h.body) for h in heads] == [("u", None, "body\n\nDATE: no"), (None, None, "no head\nDATE: d"), (None, None, ""), (None, None, None)]
+
+
+def test_index_takes_new_documents_only(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b"), (3, ""), (None, "c"), (4, None)], "doc_id long, text string")
+    index = search.postings(docs.filter("doc_id = 1"))
+    assert sorted((r.term, r.doc_id) for r in search.new_postings(index, docs.filter("doc_id IS NOT NULL")).collect()) == [("b", 2)]
+    assert search.new_postings(search.postings(docs), docs.filter("doc_id < 3")).count() == 0
+    assert search.new_postings(search.postings(docs.limit(0)), docs.filter("doc_id = 1")).count() == 2
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 01:10:00"), (None, "2024-01-01 02:00:00"), ("a", "2024-01-01 03:30:00"), ("a", None)]
+    spark.createDataFrame(rows, "k string, t string").selectExpr("k", "cast(t as timestamp) as t").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in"))
+    got = run_to_table(windowed_counts(stream, "t", "1 hour", "1 hour", "k"), spark, "test").collect()
+    assert sorted((str(r.start)[11:13], str(r.k), r.n) for r in got) == [("00", "a", 2), ("01", "b", 1)]
