@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -681,3 +682,19 @@ def test_multikey_sorts_like_bytes():
     keys = [text[i : i + 50] for i in order.tolist()]
     assert keys == sorted(keys)
     assert all((keys[k] == keys[k + 1]) == (group[k] == group[k + 1]) for k in range(len(keys) - 1))
+
+
+def test_small_batches_bound_bytes_and_put_the_setting_back(spark):
+    from lodestone.llm import scratch
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(300, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    before = spark.conf.get(scratch.BATCH_BYTES, None)
+    with pytest.raises(ZeroDivisionError), scratch.small_batches(spark, 50_000):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 300 and max(got) <= 60
+        1 / 0
+    assert spark.conf.get(scratch.BATCH_BYTES, None) == before
