@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,8 +92,16 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by piece_bpe_32k.model with begin and end, and decoded; a null text is an empty one."""
+    from lodestone.llm.pieces import encode_decode
+
+    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup, op13_sentencepiece_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -42,6 +43,17 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
         spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
 
 
+def arrow(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most: int = 4 << 20) -> DataFrame:
+    """frame.mapInArrow() in batches of about ``most`` bytes, or one longer row.
+
+    Spark reads the bound when the job starts, long after this call. So it is put into the session's settings, where
+    these don't name a bound already; a session's own bound stays. It changes the size of batches only, no result.
+    """
+    if frame.sparkSession.conf.get(BATCH_BYTES, None) is None:
+        frame.sparkSession.conf.set(BATCH_BYTES, most)
+    return frame.mapInArrow(function, schema)
+
+
 def keep(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``frame`` to the shared folder and return the written table; for whole texts ``zstd`` takes less disk."""
     spark = frame.sparkSession
