@@ -92,6 +92,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, each with the common word one edit away that it is a form of; see spelling.variants()."""
+    from lodestone.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), every=199, least=6, times=5, ratio=5)
+
+
 def op13_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by piece_bpe_32k.model with begin and end, and decoded; a null text is an empty one."""
     from lodestone.llm.pieces import encode_decode
@@ -101,7 +108,7 @@ def op13_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup, op13_sentencepiece_codec)
+    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup, op11_spelling_variants, op13_sentencepiece_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +129,37 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
     """,
+    # CRC-32 bit by bit: each byte is a step, and eight steps of -1 follow it
+    "op11_spelling_variants": """
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+        ), coded AS (
+            SELECT run, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), -1, -1, -1, -1, -1, -1, -1, -1]
+                   ELSE [192 + unicode(c) // 64, -1, -1, -1, -1, -1, -1, -1, -1, 128 + unicode(c) % 64, -1, -1, -1, -1, -1, -1, -1, -1] END)) AS steps
+            FROM runs WHERE length(run) >= 6
+        ), hashed AS (
+            SELECT run, 4294967295 - list_reduce(steps, lambda c, x: CASE WHEN x >= 0 THEN xor(CAST(c AS BIGINT), CAST(x AS BIGINT)) ELSE xor(CAST(c AS BIGINT) // 2, CAST(c AS BIGINT) % 2 * 3988292384) END, CAST(4294967295 AS BIGINT)) AS h FROM coded
+        ), words AS (
+            SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5
+        ), places AS (
+            SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words
+        ), cut AS (
+            SELECT word, n, p, left(word, p - 1) AS head, substr(word, p + 1) AS tail FROM places
+        ), near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut AS a JOIN cut AS b ON a.p = b.p AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+            UNION SELECT w.word, w.n, c.word, c.n FROM words AS w JOIN cut AS c ON w.word = c.head || c.tail
+            UNION SELECT c.word, c.n, w.word, w.n FROM words AS w JOIN cut AS c ON w.word = c.head || c.tail
+        ), best AS (
+            SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near
+        ), forms AS (
+            SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM best WHERE k = 1
+        ), chain AS (
+            SELECT word, word AS root, 0 AS step FROM words UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain AS c JOIN forms AS f ON f.word = c.root AND f.form IS NOT NULL
+        ), ends AS (
+            SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word
+        )
+        SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN forms USING (word) JOIN ends USING (word)
+    """,
 }
