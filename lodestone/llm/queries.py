@@ -99,6 +99,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), every=199, least=6, times=5, ratio=5)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of two to four words that belong together; see phrases.collocations()."""
+    from lodestone.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=30, depth=4, most=2000, share=80)
+
+
 def op13_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by piece_bpe_32k.model with begin and end, and decoded; a null text is an empty one."""
     from lodestone.llm.pieces import encode_decode
@@ -108,7 +115,7 @@ def op13_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup, op11_spelling_variants, op13_sentencepiece_codec)
+    f.__name__: f for f in (op1_exact_top_k, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_codec, op8_exact_dedup, op9_lm_scoring, op10_suffix_array_dedup, op11_spelling_variants, op12_phrase_collocations, op13_sentencepiece_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -162,4 +169,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN forms USING (word) JOIN ends USING (word)
     """,
+    "op12_phrase_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+        ), worded AS (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+        ), places AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM worded
+        ), grams AS (
+            SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM places, range(1, 5) AS s(k) WHERE p + k - 1 <= len(w)
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY lang, k, phrase
+        ), totals AS (
+            SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= 30
+        ), inner_phrases AS (
+            SELECT lang, array_to_string(w[p:p + m - 1], ' ') AS phrase, max(a) AS longer FROM candidates, range(2, 4) AS s(m), range(1, 4) AS t(p)
+            WHERE m < k AND p + m - 1 <= k GROUP BY ALL
+        ), kept AS (
+            SELECT c.* FROM candidates AS c LEFT JOIN inner_phrases AS i USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, x.n AS l, y.n AS r, j, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.n + y.n) AS BIGINT) AS score
+            FROM kept AS c, range(1, 4) AS s(j), f AS x, f AS y
+            WHERE j < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')
+        ), lowest AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS first FROM cuts
+        ), ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM lowest WHERE first = 1
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
