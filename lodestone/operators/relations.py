@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import positions
+from lodestone.sources.versions import new_folder, written
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,6 +19,34 @@ def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataF
     return out
 
 
+def insert_in_order(incoming: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The incoming rows that come in when rows are inserted one by one by ``order``, each only if none of its keys is there yet.
+
+    A row whose key an earlier incoming row has taken stays out, and takes nothing itself.  In each round, the rows that
+    are first among the undecided ones in all of their keys come in, and the rows that share a key with them are out;
+    rows wait as long as an earlier undecided row has one of their keys.  Rounds are half the length of the longest chain
+    of rows each of which waits for the one before, at most; a round shuffles what is undecided.  ``order`` is unique and
+    not null.  Null keys are never taken and match nothing.
+    """
+    spark = incoming.sparkSession
+    place = new_folder(spark, "insert")
+    names = [f"_key{i}" for i in range(len(keys))]
+    undecided = written(new_rows(incoming, existing, keys).select(order, *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]), f"{place}-0")
+    chosen, number = [], 0
+    while not undecided.isEmpty():
+        number += 1
+        state = undecided
+        for name in names:  # the first undecided row of each key
+            first = undecided.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias(f"{name}_of")).agg(F.min(order).alias(f"{name}_first"))
+            state = state.join(first, F.col(name) == F.col(f"{name}_of"), "left").drop(f"{name}_of")
+        mine = reduce(Column.__and__, [F.col(name).isNull() | (F.col(f"{name}_first") == F.col(order)) for name in names])
+        state = written(state.withColumn("_in", mine).select(order, *names, "_in"), f"{place}-{number}")
+        chosen.append(state.filter("_in").select(order))
+        undecided = new_rows(state.filter("NOT _in"), state.filter("_in"), names).drop("_in")
+    out = reduce(DataFrame.unionByName, chosen) if chosen else undecided.select(order)
+    return incoming.join(out, order, "left_semi")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
     """The latest row of each key by ``version``; columns that one side lacks are null there."""
     every = existing.unionByName(incoming, allowMissingColumns=True)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.functions.vectors import cosine
+from lodestone.operators import patterns
 from lodestone.operators.ranking import ranked
-from lodestone.operators.relations import small
+from lodestone.sources.versions import new_folder, written
 
 
 def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -26,6 +27,7 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
 
     words = docs.select(key, tokens(text).alias("words"))
     counted = words.select(key, F.size("words").alias("n"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = written(counted, new_folder(docs.sparkSession, "counts"))  # a few numbers a document; texts are split once
     stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms))))
     score = F.lit(0.0)
@@ -53,22 +55,10 @@ def keyword_score(rows: DataFrame, words: list[str], weights: dict[str, int], ke
 def containing(docs: DataFrame, passages: DataFrame, key: str, passage_key: str) -> DataFrame:
     """Pairs of passage_key and key: documents (key, text) that hold a passage (passage_key, passage), upper and lower case told apart.
 
-    A passage is sought by up to five words inside it: its first and last word may be parts of a
-    document's words, those between are whole. What is found is compared. A passage of less
-    than three words has none between and is compared with every document. Few passages are brought to the
-    documents, so that only hits leave the scan; many meet the documents' words in a shuffle. Null texts and passages are in no pair.
+    All passages are sought in one pass over the texts; see patterns.find(). Null texts and passages are in no pair, an
+    empty passage is in every text.
     """
-    words = F.split("text", r"\s")
-    length = F.least(F.size(F.split("passage", r"\s")) - 2, F.lit(5))
-    seeds = passages.select(passage_key, "passage", length.alias("length"), F.concat_ws(" ", F.slice(F.split("passage", r"\s"), 2, F.greatest(length, F.lit(1)))).alias("inner")).filter("passage IS NOT NULL")
-    lengths = seeds.filter("length > 0").select("length").distinct()  # five at most
-    starts = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.concat_ws(" ", F.slice("words", i, F.col("length"))))
-    parts = docs.select(key, words.alias("words")).join(F.broadcast(lengths), F.size("words") >= F.col("length"))
-    parts = parts.select(key, "length", F.explode(F.array_distinct(starts)).alias("inner"))
-    hit = parts.join(small(seeds.filter("length > 0")), ["length", "inner"]).select(key, passage_key, "passage").distinct()
-    found = hit.join(docs.select(key, "text"), key).filter(F.col("text").contains(F.col("passage"))).select(passage_key, key)
-    short = docs.join(seeds.filter("length <= 0"), F.col("text").contains(F.col("passage"))).select(passage_key, key)
-    return found.unionByName(short).distinct()
+    return patterns.find(docs, passages, key, passage_key, pattern="passage", once=True).select(passage_key, key).distinct()
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", rows: int = 4096) -> DataFrame:

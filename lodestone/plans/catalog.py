@@ -333,11 +333,7 @@ def next_line_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT b.item_id AS item_id, d.doc_id AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def passage_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Which documents hold a benchmark passage whole: found by five words inside it, or by as many as it has, then compared.
-
-    The first and last word of a passage may be parts of a document's words, those between are whole.  A passage
-    of less than three words has none between and is compared with every document.
-    """
+    """Which documents hold a benchmark passage whole: all passages are sought in one pass over the texts."""
     passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     return search.containing(table(spark, d, "documents").select("doc_id", "text"), passages, "doc_id", "item_id")
 

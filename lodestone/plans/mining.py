@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import ranking, relations
+from lodestone.operators import patterns, ranking, relations
 from lodestone.plans.registry import query
 from lodestone.sources.tables import feed_items, headed, table
 
@@ -198,12 +198,12 @@ RULES = [(1, "BRASS", "PROMO"), (2, "TIN", "SMALL"), (3, "XX", "STANDARD"), (4,
     SELECT p.p_partkey AS p_partkey, coalesce(best.p, 0) AS pos, CASE best.n WHEN 0 THEN 'code' WHEN 1 THEN 'name' ELSE 'none' END AS by FROM part p LEFT JOIN m ON m.p_partkey = p.p_partkey
 """)
 def first_match(spark: SparkSession, d: str) -> DataFrame:
-    """The first of a few rules that a row meets, by its code or else by its name; 0 and none where none is met."""
-    rules = spark.createDataFrame(RULES, "pos int, code string, name string")  # four rows
-    by_code = F.col("p_type").contains(F.col("code"))
-    found = table(spark, d, "part").select("p_partkey", "p_type").join(F.broadcast(rules), by_code | F.col("p_type").contains(F.col("name")), "left")
-    best = found.groupBy("p_partkey").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("pos", F.when(by_code, "code").otherwise("name").alias("by")))).alias("best"))
-    return best.select("p_partkey", F.coalesce("best.pos", F.lit(0)).alias("pos"), F.coalesce("best.by", F.lit("none")).alias("by"))
+    """The first of a table of rules that a row meets, by its code or else by its name; 0 and none where none is met. All codes and names are sought in one pass."""
+    rules = spark.createDataFrame([(2 * pos + by, word) for pos, *words in RULES for by, word in enumerate(words)], "rule int, pattern string")  # two rows a rule
+    rows = table(spark, d, "part").select("p_partkey", "p_type")
+    first = patterns.find(rows, rules, "p_partkey", "rule", text="p_type").groupBy("p_partkey").agg(F.min("rule").alias("rule"))
+    by = F.when(F.col("rule").isNull(), "none").when(F.col("rule") % 2 == 0, "code").otherwise("name")
+    return rows.select("p_partkey").join(first, "p_partkey", "left").select("p_partkey", F.coalesce(F.floor(F.col("rule") / 2).cast("int"), F.lit(0)).alias("pos"), by.alias("by"))
 
 
 @query("""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.relations import new_rows
+from lodestone.sources.versions import new_folder
 
 
 def append_new(stream: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
@@ -39,16 +37,6 @@ def windowed_counts(stream: DataFrame, time: str, every: str, late: str, *keys:
     return counts.select(F.col("_window.start").alias("start"), *keys, "n")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a stream's table or state: in the session's ``spark.checkpoint.dir``, or on the machine itself where a local session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="lodestone-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Run a stream in append mode over what is there, and return what it wrote."""
     target = new_folder(spark, name)
