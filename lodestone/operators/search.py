@@ -37,9 +37,10 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
     return hit.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats: one row
 
 
-def neighbours(vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Cosine of every vector with the query."""
-    return vectors.select(key, cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
+def neighbours(vectors: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Cosine of every vector with the first vector of ``asked`` (smallest key); no rows where there is none."""
+    one = asked.filter(F.col(vector).isNotNull()).agg(F.min_by(vector, key).alias("_asked"))  # one row
+    return vectors.crossJoin(F.broadcast(one)).filter("_asked IS NOT NULL").select(key, cosine(F.col(vector), F.col("_asked")).alias("score"))
 
 
 def keyword_score(rows: DataFrame, words: list[str], weights: dict[str, int], key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import cosine
 from lodestone.operators import ranking, relations, search
-from lodestone.plans import loads, mining, retrieval, streams  # noqa: F401  they register their queries
+from lodestone.plans import kept, loads, mining, retrieval, streams  # noqa: F401  they register their queries
 from lodestone.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from lodestone.plans.views import cases, evidence
 from lodestone.sources.tables import table
@@ -229,8 +229,7 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
 """)
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    asked = vectors.filter("vec_id = 3").first()  # one vector
-    near = search.neighbours(vectors, list(asked.embedding)).select("vec_id", F.round("score", 6).alias("score"))
+    near = search.neighbours(vectors, vectors.filter("vec_id = 3")).select("vec_id", F.round("score", 6).alias("score"))
     return near.orderBy(F.col("score").desc(), "vec_id").limit(20)
 
 

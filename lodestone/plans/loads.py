@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import word_count
@@ -24,12 +24,13 @@ def insert_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     WITH e AS (SELECT doc_id, text FROM documents WHERE lang = 'en')
     SELECT doc_id, source FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.text = d.text)
+    QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1
 """)
 def insert_by_two_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of which neither the id nor the text is there; English ones are. Rows without a text are dropped."""
+    """Documents come in by id, each if neither its id nor its text is there yet; English ones are. Rows without a text are dropped. Ids are unique, so the first of each new text comes in."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
     there = docs.filter("lang = 'en'").select("doc_id", "text")
-    return relations.new_rows(docs.filter("text <> ''"), there, ["doc_id", "text"]).select("doc_id", "source")
+    return relations.insert_in_order(docs.filter("text <> ''"), there, ["doc_id", "text"], "doc_id").select("doc_id", "source")
 
 
 @query("SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY s_suppkey) AS id, s_suppkey, s_name FROM supplier")
@@ -84,11 +85,11 @@ def vector_dimensions(spark: SparkSession, d: str) -> DataFrame:
     SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS INTEGER) AS line, s_name, count(*) OVER (PARTITION BY s_nationkey) AS of FROM supplier
 """)
 def numbered_report(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a report: numbered in their section, with the section's total for its footer."""
+    """Lines of a report: numbered in their section, with the section's total for its footer. A section is sorted in parts, by the beginnings of its names."""
     rows = table(spark, d, "supplier").select("s_nationkey", "s_name")
     totals = rows.groupBy("s_nationkey").agg(F.count("*").alias("of"))
-    line = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_name"))
-    return rows.withColumn("line", line).join(totals, "s_nationkey").select("s_nationkey", "line", "s_name", "of")
+    lines = ranking.positions(rows, ["s_nationkey"], F.substring("s_name", 1, 16), F.col("s_name"))
+    return lines.join(totals, "s_nationkey").select("s_nationkey", F.col("position").cast("int").alias("line"), "s_name", "of")
 
 
 @query("""

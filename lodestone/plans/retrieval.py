@@ -107,14 +107,18 @@ def query_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT unnest([1, 2, 3, 4, 2, 5, 1]) AS id, unnest([1, 1, 1, 1, 2, 2, 3]) AS list_, unnest([1, 2, 3, 4, 1, 2, 1]) AS rank)
-    SELECT CAST(id AS BIGINT) AS id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score FROM l GROUP BY id
+    WITH l AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 60
+        UNION ALL SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer WHERE c_mktsegment = 'MACHINERY' QUALIFY rank <= 40
+        UNION ALL SELECT o_custkey, row_number() OVER (ORDER BY max(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY o_custkey QUALIFY rank <= 50)
+    SELECT id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score FROM l GROUP BY id
 """)
 def rrf_many_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Fusion of four ranked lists of different length, one of them empty."""
-    lists = [[1, 2, 3, 4], [2, 5], [1], []]
-    frames = [spark.createDataFrame([(x, k) for k, x in enumerate(own, start=1)], "id long, rank int") for own in lists]
-    return ranking.rrf(frames, "id").select("id", F.round("rrf_score", 9).alias("rrf_score"))
+    """Fusion of four ranked lists of different length: by balance, by balance within a segment, by the dearest order, and an empty one."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    dearest = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("most"))
+    lists = [(customers, "c_acctbal", 60), (customers.filter("c_mktsegment = 'MACHINERY'"), "c_acctbal", 40), (dearest, "most", 50), (customers.filter("c_mktsegment = 'NONE'"), "c_acctbal", 10)]
+    fused = ranking.rrf([ranking.ranked(rows, "c_custkey", F.col(by), k) for rows, by, k in lists], "c_custkey")
+    return fused.select(F.col("c_custkey").alias("id"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
 @query("""
@@ -184,7 +188,7 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Three ranked lists (terms, a keyword, a vector) fused, and the rows of what is found."""
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
     terms = search.bm25(docs.select("doc_id", "text"), TERMS).select("doc_id", F.round("score", 6).alias("score"))
-    near = search.neighbours(vectors, list(vectors.filter("vec_id = 5").first().embedding)).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))  # one vector
+    near = search.neighbours(vectors, vectors.filter("vec_id = 5")).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))
     keyword = docs.filter(F.lower("text").contains("tion")).select("doc_id", F.col("n_chars").alias("score"))
     fused = ranking.rrf([ranking.ranked(x, "doc_id", F.col("score"), 50) for x in (terms, keyword, near)], "doc_id")
     best = fused.select("doc_id", F.round("rrf_score", 9).alias("rrf_score")).orderBy(F.col("rrf_score").desc(), "doc_id").limit(20)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.registry import query
+from lodestone.sources.stored import Stored
 from lodestone.sources.tables import table
 from lodestone.streaming import sync
+from lodestone.streaming.state import load
 
 
 def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,13 +19,14 @@ def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query("SELECT doc_id, any_value(CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'old' END) AS came FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY doc_id")
 def stream_sync(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a label are there; the stream of all documents appends the others."""
-    target = sync.new_folder(spark, "synced")
+    """Documents with a label are there; the stream of all documents adds the others, each batch to the buckets it falls into."""
+    place = sync.new_folder(spark, "synced")
+    target = Stored(spark, f"{place}/table", "doc_id", buckets=8)
     docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
-    docs.distinct().join(labels, "doc_id", "left_semi").withColumn("came", F.lit("old")).write.parquet(target)
+    target.insert(docs.join(labels, "doc_id", "left_semi").withColumn("came", F.lit("old")))
     coming = stream_of(spark, d, "documents").select("doc_id", F.lit("new").alias("came"))
-    sync.append_new(coming, target, "doc_id", f"{target}-state").awaitTermination()
-    return spark.read.schema("doc_id long, came string").parquet(target)
+    load(coming, target, "documents", f"{place}/state").awaitTermination()
+    return target.read().select("doc_id", "came")
 
 
 @query("""

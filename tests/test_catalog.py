@@ -20,7 +20,7 @@ def rows(pdf, columns):
     return sorted(map(str, pdf[columns].itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, small, duck, name):
     ours, theirs = QUERIES[name](spark, small).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     columns = sorted(ours.columns)
