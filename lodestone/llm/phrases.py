@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import scratch
 
 #: Bytes of text of one shard, or one longer text.
-SHARD = 12 << 20
+SHARD = 4 << 20
 #: Bits of the sieve (8 MB), a power of two; the driver holds it, and every worker.
 SIEVE = 1 << 26
 #: White space inside a piece, and what ends one.
