@@ -11,12 +11,13 @@ shard is some megabytes of texts, all its pieces in one automaton; the states
 are its phrases up to the depth, each with its count, and are added up over all
 shards by phrase.
 
-What is rare anyway isn't sent.  A first pass counts words and pairs by 64-bit
-hashes; those that occur often enough set bits in a sieve of fixed size.  Phrases
-with a word or pair outside of it can't be frequent.  Hashes that fall together
-let too much through, never too little: counts are those of the phrases' texts.
-With more frequent pairs than the sieve has room for it lets all through, and
-the second pass sends what the first one would have spared, no result changes.
+What is rare anyway isn't sent as text.  A first pass counts words and pairs by
+hashes; those that occur often enough set bits in a sieve of fixed size.  A second
+one counts by hashes the longer phrases all of whose words and pairs the sieve
+lets through.  The third one sends the phrases whose every part passes.  Hashes
+that fall together let too much through, never too little: counts are those of
+the phrases' texts.  With more frequent phrases than the sieve has room for it
+lets all through, and more is sent, no result changes.
 
 Every phrase of a frequent one is frequent, so all that scores and subsumption
 need is among the frequent phrases.  A phrase that lies in a longer one lies in
@@ -41,6 +42,8 @@ from lodestone.llm import scratch
 SHARD = 4 << 20
 #: Bits of the sieve (8 MB), a power of two; the driver holds it, and every worker.
 SIEVE = 1 << 26
+#: Bits of a hash (fewer take less room on their way), and where in them the two places in the sieve begin.
+KEY, PLACES = 44, (0, 18)
 #: White space inside a piece, and what ends one.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _MAP = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -65,32 +68,33 @@ class Shard:
         last = np.cumsum([len(t) + 1 for t in texts])
         self.lang = of_text[np.searchsorted(last, starts, "right")] if len(texts) else np.zeros(0, np.int64)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the word at each place, and of it with the one before (0 where a piece begins), both with the language."""
-        word = np.array([xxhash.xxh64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
+    def keys(self, depth: int) -> list[np.ndarray]:
+        """For 1, 2, ... ``depth`` words: hash of those that end at each place, with the language; 0 where a piece doesn't have so many."""
+        word = np.array([xxhash.xxh64_intdigest(w) for w in self.words.to_pylist()], np.uint64)[self.code]
         lang = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs], np.uint64)
-        one = mixed(word[self.code] + lang[self.lang])
-        two = np.zeros(len(one), np.uint64)
-        two[1:] = np.where(self.piece[1:] == self.piece[:-1], mixed(one[:-1] * np.uint64(5) + word[self.code[1:]]) | np.uint64(1), np.uint64(0))
-        return one & ~np.uint64(1), two
-
-    def states(self, word: np.ndarray, pair: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Depth, an end, endpos count and suffix link (a state of the depth before) of the states of each depth up to ``depth``.
-
-        ``word`` and ``pair`` say of each place whether its word, and its pair with the word before, may be frequent.
+        whole, out = mixed(word + lang[self.lang]), []
+        inside = np.ones(len(whole), bool)
+        for d in range(depth):
+            if d:
+                whole = np.r_[np.zeros(1, np.uint64), mixed(whole[:-1] * np.uint64(5) + word[1:])] if len(whole) else whole
+                inside[:d] = False
+                inside[d:] &= self.piece[d:] == self.piece[: len(inside) - d]
+            out.append(np.where(inside, whole >> np.uint64(64 - KEY) | np.uint64(1), np.uint64(0)))
+        return out
+
+    def states(self, allowed: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Depth, an end, endpos count and suffix link (a state of the depth before) of the states of each depth.
+
+        ``allowed`` says, for phrases of 1, 2, ... words, of each place whether the one that ends there may be frequent.
         """
         size = max(len(self.words), 1)
-        state = np.zeros(len(self.code), np.int64)
-        ends, root, before = np.flatnonzero(word), self.lang, self.code
-        for d in range(1, depth + 1):
-            if d > 1:  # ends of d - 1 allowed words, of which the first makes an allowed pair with the one before it
-                ends = ends[ends >= d - 1]
-                ends = ends[pair[ends - d + 2]]
-                root = state
-            _, first, state_of, count = np.unique(root[ends] * size + before[ends - d + 1], return_index=True, return_inverse=True, return_counts=True)
+        ends, root = np.arange(len(self.code)), self.lang
+        for d, may in enumerate(allowed, 1):
+            ends = ends[may[ends]]
+            _, first, state_of, count = np.unique(root[ends] * size + self.code[ends - d + 1], return_index=True, return_inverse=True, return_counts=True)
             yield d, ends[first], count, root[ends[first]]
-            state = np.zeros(len(self.code), np.int64)
-            state[ends] = state_of
+            root = np.zeros(len(self.code), np.int64)
+            root[ends] = state_of
 
     def phrases(self, ends: np.ndarray, words: int) -> pa.Array:
         """The phrases of so many words at ``ends``, joined by spaces."""
@@ -120,21 +124,50 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
         yield Shard(texts, langs)
 
 
-def _hashes(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Batches = Iterator[pa.RecordBatch]
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which phrases the sieve lets through; key 0 is none."""
+    out = keys != 0
+    for s in PLACES:
+        at = (keys >> np.uint64(s)) & np.uint64(64 * len(bits) - 1)
+        out &= ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return out
+
+
+def allowed(bits: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+    """Of phrases of 1, 2, ... words that end at each place, which pass with all their parts."""
+    out = [passes(bits, keys[0])]
+    for own in keys[1:]:  # its first words end one place before, its last words here
+        before = np.r_[np.zeros(1, bool), out[-1][:-1]] if len(own) else out[-1]
+        out.append(passes(bits, own) & out[-1] & before)
+    return out
+
+
+def _hashes(get_bits: Callable[[], np.ndarray] | None, depth: int, most: int) -> Callable[[Batches], Batches]:
+    """key and n of each shard: of words and pairs, or where there are bits already, of longer phrases of what passes them."""
+
+    def run(batches: Batches) -> Batches:
         for shard in shards(batches, most):
-            one, two = shard.keys()
-            keys, counts = np.unique(np.r_[one, two[two != 0]], return_counts=True)
-            for k in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)].astype(np.int64)) for x in (keys, counts)], ["key", "n"])
+            keys = shard.keys(depth)
+            if get_bits:
+                may, longer = allowed(get_bits(), keys[:2])[1], []
+                for own in keys[2:]:  # all pairs in it pass
+                    may = may & np.r_[np.zeros(1, bool), may[:-1]] if len(own) else may
+                    longer.append(own[may & (own != 0)])
+                keys = longer
+            found, counts = np.unique(np.concatenate([k[k != 0] for k in keys]), return_counts=True)
+            for k in range(0, len(found), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)].astype(np.int64)) for x in (found, counts)], ["key", "n"])
 
     return run
 
 
-def sieve(texts: DataFrame, least: int) -> np.ndarray:
-    """A bit field of fixed size with two bits set for each word and pair (by hash) that occurs ``least`` times in its language."""
-    often = scratch.arrow(texts, _hashes(SHARD), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    bit = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(SIEVE - 1) for s in (1, 33)))).alias("bit")
+def sieve(hashes: DataFrame, least: int) -> np.ndarray:
+    """A bit field of fixed size with two bits set for each key that occurs ``least`` times."""
+    often = hashes.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    bit = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(SIEVE - 1) for s in PLACES))).alias("bit")
     slots = often.select(bit).groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits"))
     out = np.zeros(SIEVE // 64, np.uint64)
     found = slots.toPandas()  # SIEVE / 64 rows at most
@@ -142,24 +175,14 @@ def sieve(texts: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys the sieve lets through."""
-    out = np.ones(len(keys), bool)
-    for s in (1, 33):
-        at = (keys >> np.uint64(s)) & np.uint64(64 * len(bits) - 1)
-        out &= ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
-    return out
-
-
-def _counted(get_bits: Callable[[], np.ndarray], depth: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(get_bits: Callable[[], np.ndarray], depth: int, most: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         names = ["lang", "words", "phrase", "n"]
         for shard in shards(batches, most):
             langs = pa.array(shard.langs, pa.string())
             every = np.bincount(shard.lang, minlength=len(langs))
             yield pa.RecordBatch.from_arrays([langs, pa.array([0] * len(langs), pa.int32()), pa.array([""] * len(langs)), pa.array(every)], names)
-            one, two = shard.keys()
-            for d, ends, count, _ in shard.states(passes(get_bits(), one), passes(get_bits(), two) & (two != 0), depth):
+            for d, ends, count, _ in shard.states(allowed(get_bits(), shard.keys(depth))):
                 for k in range(0, len(ends), 1 << 16):
                     at = ends[k : k + (1 << 16)]
                     size = pa.array(np.full(len(at), d, np.int32))
@@ -172,11 +195,16 @@ def frequent_phrases(docs: DataFrame, least: int, depth: int = 4) -> DataFrame:
     """lang, words (how many), phrase and n of all phrases of up to ``depth`` words that occur ``least`` times in their language.
 
     Rows with 0 words hold each language's number of word occurrences, however small.  A null text is empty, a null
-    lang is "und"; every row counts, repeated ones too.  ``docs`` is read twice.  A text of any length is handled
+    lang is "und"; every row counts, repeated ones too.  ``docs`` is read three times.  A text of any length is handled
     whole; memory follows the longest one.
     """
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(sieve(texts, least))
+    context = docs.sparkSession.sparkContext
+    bits = sieve(scratch.arrow(texts, _hashes(None, min(depth, 2), SHARD), "key long, n long"), least)
+    if depth > 2:
+        pairs = context.broadcast(bits)
+        bits = bits | sieve(scratch.arrow(texts, _hashes(lambda: pairs.value, depth, SHARD), "key long, n long"), least)
+    shared = context.broadcast(bits)
     found = scratch.arrow(texts, _counted(lambda: shared.value, depth, SHARD), "lang string, words int, phrase string, n long")
     counts = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return counts.filter((F.col("n") >= least) | (F.col("words") == 0))

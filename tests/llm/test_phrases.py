@@ -80,11 +80,10 @@ def test_states_are_classes_of_ends():
     rnd = random.Random(2)
     texts = [" ".join(rnd.choice("abc") for _ in range(30)) + ". " + rnd.choice("abc") for _ in range(20)]
     shard = phrases.Shard([t.encode() for t in texts], ["x"] * 20)
-    every = np.ones(len(shard.code), bool)
-    _, two = shard.keys()
+    every = [k != 0 for k in shard.keys(4)]
     seen = collections.Counter(tuple(w[p : p + k]) for t in texts for w in pieces_of(t) for k in range(1, 5) for p in range(len(w) - k + 1))
     found, last = {}, None
-    for d, ends, count, link in shard.states(every, two != 0, 4):
+    for d, ends, count, link in shard.states(every):
         names = [tuple(x.split(" ")) for x in shard.phrases(ends, d).to_pylist()]
         assert len(names) == len(set(names))
         found |= dict(zip(names, count.tolist(), strict=True))
