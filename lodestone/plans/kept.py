@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import patterns, relations
+from lodestone.operators import patterns, relations, sparse
 from lodestone.operators.text_index import TextIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans.registry import query
@@ -13,7 +13,7 @@ from lodestone.plans.retrieval import _NORM, _TF, _TOKENS, TERMS
 from lodestone.plans.streams import stream_of
 from lodestone.sources.stored import Stored
 from lodestone.sources.tables import table
-from lodestone.sources.versions import new_folder
+from lodestone.sources.versions import new_folder, written
 from lodestone.streaming import state, sync
 
 URGENT = ["1-URGENT", "2-HIGH"]
@@ -125,6 +125,19 @@ def knn_by_cells(spark: SparkSession, d: str) -> DataFrame:
     return index.search(vectors.filter("vec_id % 100 = 0"), 10, probes=4, exact=True)
 
 
+@query(f"""
+    WITH p AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    r AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS raw FROM f JOIN d USING (term)), v AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM r),
+    s AS (SELECT q.doc_id AS query, v.doc_id AS doc_id, round(sum(q.w * v.w), 6) AS score FROM v AS q JOIN v ON v.term = q.term AND v.doc_id <> q.doc_id WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+    SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s QUALIFY rank <= 10
+""")
+def nearest_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts nearest to every hundredth one (the stated set of queries) by their words' weights, among all."""
+    vectors = sparse.tfidf(table(spark, d, "documents").select("doc_id", "text"))
+    vectors = written(vectors, new_folder(spark, "weights"))
+    return sparse.top_k(vectors, vectors.filter("doc_id % 100 = 0"), 10)
+
+
 @query(None)  # each row depends on all that came in before it; tests hold it against doing so
 def insert_one_by_one(spark: SparkSession, d: str) -> DataFrame:
     """Orders that come in one by one, each only if neither its customer nor its day is taken yet; the open ones of low priority are there."""
