@@ -7,9 +7,10 @@ shared, so with the grams put in one order for all words (rarest first, then by
 place) two such words share one of their first Q + 1.  The edit is right of that
 gram or left of it: then all up to the gram, or all from it on, is the same.
 Words meet in a task by that part and by length, which a popular gram alone
-can't make large.  There, the words' places are indexed by gram and place; the
-postings that a word's grams ask for, under limits of length and place, are
-merged through a heap; words met at least as often as the bound says are compared.
+can't make large.  There, the words' other grams are indexed by gram and place;
+the postings that a word's grams ask for, under limits of length and place, are
+merged through a heap; words met as often as the bound says, less the grams that
+all of them have in common, are compared.
 """
 
 from __future__ import annotations
@@ -50,38 +51,68 @@ def damaged_words(docs: DataFrame, every: int = 199, least: int = 2 * Q) -> Data
 
 def one_edit(a: str, b: str) -> bool:
     """Whether one character inserted into ``a`` or replaced in it makes ``b``."""
-    if a == b or len(b) - len(a) not in (0, 1):
+    if len(a) == len(b):
+        low, high = 0, len(a)  # the same but for what is between
+        while high - low > 1:
+            half = (low + high) // 2
+            if a[low:half] == b[low:half]:
+                low = half
+            elif a[half:high] == b[half:high]:
+                high = half
+            else:
+                return False
+        return a != b
+    if len(b) - len(a) != 1:
         return False
-    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return (a[k + 1 :] if len(a) == len(b) else a[k:]) == b[k + 1 :]
+    low, high = 0, len(a)  # the first letters that are the same: at least low, at most high
+    while low < high:
+        half = (low + high + 1) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half - 1
+    return a[low:] == b[low + 1 :]
 
 
-def meet(words: list[str], indexed: list[bool]) -> Iterator[tuple[int, int]]:
+def meet(words: list[str], indexed: list[bool], same: list[int]) -> Iterator[tuple[int, int]]:
     """Places (probe, other) of the pairs one edit apart among words of one key.
 
-    The indexed words have one length, the others one less; a pair of indexed words comes once.  Where hashes of keys
-    are equal by chance there can be more lengths, and each is indexed by itself.
+    The indexed words have one length, the others one less; a pair of indexed words comes once.  All have their first
+    ``same`` grams in common, or their last ones where that is negative.  Where hashes of keys are equal by chance there
+    can be more lengths and parts, and each is indexed by itself.
     """
-    for size in {len(w) for w, own in zip(words, indexed, strict=True) if own}:
-        yield from _meet(size, words, [own and len(w) == size for w, own in zip(words, indexed, strict=True)])
-
-
-def _meet(size: int, words: list[str], indexed: list[bool]) -> Iterator[tuple[int, int]]:
-    postings: dict[tuple[int, str], list[int]] = {}
-    for k, w in enumerate(words):
-        if indexed[k]:
-            for p in range(size - Q + 1):
-                postings.setdefault((p, w[p : p + Q]), []).append(k)
-    bound, none = max(size - 2 * Q + 1, 1), ()
-    for k, w in enumerate(words):
-        places = [(p, w[p : p + Q]) for p in range(len(w) - Q + 1)]
-        if len(w) < size:
-            places += [(p + 1, g) for p, g in places]
-        lists = [x for p in places if (x := postings.get(p, none)) and x[-1] != k]
+    for size, many in {(len(w), n) for w, own, n in zip(words, indexed, same, strict=True) if own}:
+        some = [k for k, w in enumerate(words) if same[k] == many and (len(w) == size - 1 or len(w) == size and indexed[k])]
+        yield from _meet(size, many, some, words)
+
+
+def _meet(size: int, same: int, places: list[int], words: list[str]) -> Iterator[tuple[int, int]]:
+    bound = size - 2 * Q + 1 - abs(same)  # grams that two words must share besides those that all share
+    full = [k for k in places if len(words[k]) == size]
+    if bound <= 0:  # at most 2 * Q - 3 characters are free: every indexed word is met often enough
+        for k in places:
+            for other in full:
+                if (other > k or len(words[k]) < size) and one_edit(words[k], words[other]):
+                    yield k, other
+        return
+    first, last = max(same, 0), Q - 1 + max(-same, 0)
+    postings: list[dict[str, list[int]]] = [{} for _ in range(size)]
+    for k in full:
+        w = words[k]
+        for p in range(first, size - last):
+            postings[p].setdefault(w[p : p + Q], []).append(k)
+    for k in places:
+        w, lists = words[k], []
+        for p in range(first, len(w) - last):
+            g = w[p : p + Q]
+            if (x := postings[p].get(g)) and x[-1] != k:
+                lists.append(x)
+            if len(w) < size and (x := postings[p + 1].get(g)):
+                lists.append(x)
         if len(lists) < bound:
             continue
         for other, times in groupby(heapq.merge(*lists)):
-            if (other > k or not indexed[k]) and other != k and sum(1 for _ in times) >= bound and one_edit(w, words[other]):
+            if (other > k or len(w) < size) and other != k and (bound == 1 or len(list(times)) >= bound) and one_edit(w, words[other]):
                 yield k, other
 
 
@@ -106,12 +137,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches):
-        keys, own = table.column("key").to_numpy(), table.column("own").to_numpy()
+        keys, own, same = (table.column(c).to_numpy() for c in ("key", "own", "same"))
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         many, owners = np.diff(edges), np.add.reduceat(own.astype(np.int64), edges[:-1])
         left, right = [], []
         for a, n in zip(edges[:-1][(many > 1) & (owners > 0)].tolist(), many[(many > 1) & (owners > 0)].tolist(), strict=True):
-            for x, y in meet(table.column("word").slice(a, n).to_pylist(), own[a : a + n].tolist()):
+            for x, y in meet(table.column("word").slice(a, n).to_pylist(), own[a : a + n].tolist(), same[a : a + n].tolist()):
                 left.append(a + x)
                 right.append(a + y)
         for k in range(0, len(left), 1 << 16):
@@ -139,8 +170,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
         part = F.substr("word", F.lit(1), F.col("p") + Q) if side == "left" else F.substr("word", F.col("p") + 1, size)
         return F.xxhash64(F.lit(side), length, part)  # equal hashes of unlike parts only add words to compare
 
-    places = [F.struct(key(side, size + more).alias("key"), F.lit(not more).alias("own")) for side in ("left", "right") for more in (0, 1)]
-    sent = rare.select("word", "n", F.explode(F.array(*places)).alias("to")).select("to.key", "to.own", "word", "n")
+    same = {"left": F.col("p") + 1, "right": F.col("p") + Q - 1 - size}  # grams of that part, from the beginning or the end
+    places = [F.struct(key(side, size + more).alias("key"), F.lit(not more).alias("own"), same[side].cast("int").alias("same")) for side in ("left", "right") for more in (0, 1)]
+    sent = rare.select("word", "n", F.explode(F.array(*places)).alias("to")).select("to.key", "to.own", "to.same", "word", "n")
     met = scratch.arrow(sent.repartition("key").sortWithinPartitions("key"), _near, "word string, n long, near string, near_n long")
     turned = F.col("word") > F.col("near")  # the same pair can meet under several keys
     ordered = met.select(*(F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("word", "near"), ("n", "near_n"), ("near", "word"), ("near_n", "n"))))
