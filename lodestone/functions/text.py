@@ -43,10 +43,20 @@ def parse_list(value: str | Column) -> Column:
 
 
 def loose_json(reply: str | Column) -> Column:
-    """The JSON object or array in a free-form reply, by whichever bracket comes first; null if it doesn't parse."""
+    """The JSON object or array in a free-form reply, by whichever bracket comes first; null if it doesn't parse.
+
+    It reaches to the first bracket up to which it parses: what follows, another object too, is left out.
+    """
     raw = _col(reply)
-    found = F.regexp_extract(raw, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    whole = F.regexp_extract(raw, r"(?s)(\{.*\}|\[.*\])", 1)
+
+    def shorter(close: str) -> Column:
+        parts = F.split(whole, "\\" + close)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), close), F.lit(close)))
+        return F.try_element_at(F.filter(every, lambda x: F.try_parse_json(x).isNotNull()), F.lit(1))
+
+    first = F.when(whole.startswith("{"), shorter("}")).otherwise(shorter("]"))
+    return F.when(whole != "", first)
 
 
 def stable_key(*parts: str | Column) -> Column:

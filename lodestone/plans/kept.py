@@ -11,6 +11,7 @@ from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans.registry import query
 from lodestone.plans.retrieval import _NORM, _TF, _TOKENS, TERMS
 from lodestone.plans.streams import stream_of
+from lodestone.sources.files import files, load_files
 from lodestone.sources.stored import Stored
 from lodestone.sources.tables import table
 from lodestone.sources.versions import new_folder, written
@@ -146,6 +147,17 @@ def insert_one_by_one(spark: SparkSession, d: str) -> DataFrame:
     return relations.insert_in_order(rows.filter(~there), rows.filter(there), ["o_custkey", "day"], "o_orderkey").select("o_orderkey", "o_custkey", "day")
 
 
+@query("SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY source")
+def text_file_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written to files in a folder for each source, then loaded from there: their characters, line ends too."""
+    folder = new_folder(spark, "texts")
+    table(spark, d, "documents").select("source", "text").write.partitionBy("source").text(folder)
+    loaded = Stored(spark, f"{folder}-loaded", "path", buckets=8)
+    load_files(files(spark, folder), loaded)
+    own = loaded.read().select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.length("text").cast("long").alias("n"))
+    return own.groupBy("source").agg(F.sum("n").alias("chars"))
+
+
 @query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events by type and user, counted by a stream that puts what changed into a stored table."""

@@ -20,9 +20,9 @@ def ellipsis(spark: SparkSession, d: str) -> DataFrame:
     return docs_of(spark, d).select("doc_id", tx.ellipsis("text", 40).alias("short"))
 
 
-@query("SELECT page_id, url_encode(url || '?q=a b*~é&' || substr(html, 1, 80)) AS encoded FROM pages")
+@query("SELECT page_id, url_encode(url || '?q=a b*~é&' || html) AS encoded FROM pages")
 def url_encoded(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", tx.url_part(F.concat("url", F.lit("?q=a b*~é&"), F.substring("html", 1, 80))).alias("encoded"))
+    return table(spark, d, "pages").select("page_id", tx.url_part(F.concat("url", F.lit("?q=a b*~é&"), "html")).alias("encoded"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(replace(text, '. ', chr(12)), '\f')) + 1 AS INTEGER) AS pages FROM documents")
@@ -62,13 +62,12 @@ def json_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT page_id, ['short', substr(replace(replace(html, '"', ' '), '\\', ' '), 1, 40 + CAST(page_id % 50 AS INTEGER)), url] AS parts FROM pages)
+    WITH r AS (SELECT page_id, ['short', replace(replace(replace(html, '"', ' '), '\\', ' '), '<', ' '), url] AS parts FROM pages)
     SELECT page_id, list_extract(list_sort(list_filter(parts, lambda x: length(x) = list_max(list_transform(parts, lambda y: length(y))))), 1) AS body FROM r
 """)
 def longest_embedded_body(spark: SparkSession, d: str) -> DataFrame:
     """Of the JSON objects embedded in a page's scripts, the longest articleBody (of equally long ones the least)."""
-    bare = F.replace(F.replace("html", F.lit('"'), F.lit(" ")), F.lit("\\"), F.lit(" "))
-    body = F.substring(bare, F.lit(1), (40 + F.col("page_id") % 50).cast("int"))
+    body = F.replace(F.replace(F.replace("html", F.lit('"'), F.lit(" ")), F.lit("\\"), F.lit(" ")), F.lit("<"), F.lit(" "))
     script = [F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(x.alias("articleBody"))), F.lit("</script>")) for x in (F.lit("short"), body, F.col("url"))]
     page = F.concat(F.lit("<p>x</p>"), *script)
     found = F.regexp_extract_all(page, F.lit(r'(?s)<script type="application/ld\+json">(.*?)</script>'), 1)
@@ -303,10 +302,10 @@ def redaction_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source || ' ' || lang || ' tion the'), '[^a-z0-9]+'), lambda x: x <> '') AS s FROM documents),
-    b AS (SELECT doc_id, list_concat(s, t[1:6]) AS l, s, t[1:6] AS t FROM w)
-    SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS every, array_to_string(list_filter(t, lambda x, i: NOT list_contains(s, x) AND list_position(t, x) = i), ' ') AS more FROM b
+    p AS (SELECT doc_id, s, unnest(list_concat(s, t)) AS x, generate_subscripts(list_concat(s, t), 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i, bool_or(list_contains(s, x)) AS own FROM p GROUP BY ALL)
+    SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS every, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT own), '') AS more FROM f GROUP BY doc_id
 """)
 def ordered_union(spark: SparkSession, d: str) -> DataFrame:
     """The words of two lists, each once, in the order in which they come first, and those that only the second one has."""
-    own, first = tx.tokens(F.concat_ws(" ", "source", "lang", F.lit("tion the"))), F.slice(tx.tokens("text"), 1, 6)
-    return docs_of(spark, d).select("doc_id", F.array_join(F.array_union(own, first), " ").alias("every"), F.array_join(F.array_except(first, own), " ").alias("more"))
+    own, words = tx.tokens(F.concat_ws(" ", "source", "lang", F.lit("tion the"))), F.coalesce(tx.tokens("text"), F.array().cast("array<string>"))
+    return docs_of(spark, d).select("doc_id", F.array_join(F.array_union(own, words), " ").alias("every"), F.array_join(F.array_except(words, own), " ").alias("more"))

@@ -22,9 +22,9 @@ def test_parse_list(spark):
 
 
 def test_loose_json(spark):
-    replies = ['Here: {"a": [1, 2], "b": [3]} done', "```json\n[1, 2]\n```", "no json", "{broken", "", None]
+    replies = ['Here: {"a": [1, 2], "b": [3]} done', "```json\n[1, 2]\n```", "no json", "{broken", "", None, '{"a": [1, {"b": "}"}]} or {"c": 2} end', 'x [1, [2]] and [3] {"d": 4}', "{x} {y}"]
     rows = spark.createDataFrame([(r,) for r in replies], "v string")
-    assert [r.x for r in rows.select(tx.loose_json("v").alias("x")).collect()] == ['{"a": [1, 2], "b": [3]}', "[1, 2]", None, None, None, None]
+    assert [r.x for r in rows.select(tx.loose_json("v").alias("x")).collect()] == ['{"a": [1, 2], "b": [3]}', "[1, 2]", None, None, None, None, '{"a": [1, {"b": "}"}]}', "[1, [2]]", None]
 
 
 def test_redaction_is_idempotent_and_counts_by_pass(spark):
