@@ -170,8 +170,8 @@ def sieve(hashes: DataFrame, least: int) -> np.ndarray:
     bit = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(SIEVE - 1) for s in PLACES))).alias("bit")
     slots = often.select(bit).groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits"))
     out = np.zeros(SIEVE // 64, np.uint64)
-    found = slots.toPandas()  # SIEVE / 64 rows at most
-    out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    found = slots.toArrow()  # SIEVE / 64 rows at most
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
