@@ -6,15 +6,17 @@ many groups of one size is dealt in one step that ends in the same loads as one
 the other.  The groups then take their planned places by joining on their rank within their size.
 
 The histogram has a row for each size that occurs.  As these sizes are different and sum up to no more than all
-bytes, there are at most the square root of twice the bytes: 15 million for 100 TB.
+bytes, there are at most the square root of twice the bytes: 15 million for 100 TB.  The driver holds it and the plan
+in arrays: 16 bytes a size, 8 for where its list of shards begins, and 12 for each shard that gets some of its groups.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,23 +26,26 @@ from lodestone.llm import scratch
 PARTS = 512
 
 
-def longest_first(sizes: np.ndarray, counts: np.ndarray, shards: int) -> list[np.ndarray]:
-    """For each size, in falling order, how many of its ``counts`` groups go to each shard.
+def longest_first(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which shards the ``counts`` groups of each size go to, sizes in falling order.
 
-    Each group goes to the shard with the least load (ties: the lower shard).
+    Each group goes to the shard with the least load (ties: the lower shard).  Returns where each size's part of the
+    other two arrays begins (and the last one ends), the shards that get some of its groups, by number, and how many
+    of its groups have been dealt with each of them.
     """
     loads = np.zeros(shards, np.int64)
     heap = [(0, k) for k in range(shards)]
-    out = []
-    for size, n in zip(sizes.tolist(), counts.tolist(), strict=True):
-        own = np.zeros(shards, np.int64)
+    where, ends, begins = array("i"), array("q"), array("q", [0])
+    for size, n in zip(map(int, sizes), map(int, counts), strict=True):  # a number at a time: no lists of them
         if n <= 4 * shards:
+            own: dict[int, int] = {}
             for _ in range(n):
                 load, k = heap[0]
-                own[k] += 1
+                own[k] = own.get(k, 0) + 1
                 heapq.heapreplace(heap, (load + size, k))
-            loads += own * size
         else:
+            for load, k in heap:
+                loads[k] = load
             # a shard takes its next group at the load it has then; the n least (load, shard) of all are taken
             low, high = int(loads.min()), int(loads.min()) + size * n
             while low < high:  # the largest level under which no more than n groups are taken
@@ -49,14 +54,27 @@ def longest_first(sizes: np.ndarray, counts: np.ndarray, shards: int) -> list[np
                     low = level
                 else:
                     high = level - 1
-            own = (-((loads - low) // size)).clip(0)
-            at = np.flatnonzero((loads + own * size) == low)[: n - int(own.sum())]
-            own[at] += 1
-            loads += own * size
+            taken = (-((loads - low) // size)).clip(0)
+            at = np.flatnonzero((loads + taken * size) == low)[: n - int(taken.sum())]
+            taken[at] += 1
+            loads += taken * size
             heap = [(x, k) for k, x in enumerate(loads.tolist())]
             heapq.heapify(heap)
-        out.append(own)
-    return out
+            own = {k: x for k, x in enumerate(taken.tolist()) if x}
+        dealt = 0
+        for k in sorted(own):
+            dealt += own[k]
+            where.append(k)
+            ends.append(dealt)
+        begins.append(len(where))
+    return np.frombuffer(begins, np.int64), np.frombuffer(where, np.int32) if where else np.zeros(0, np.int32), np.frombuffer(ends, np.int64) if ends else np.zeros(0, np.int64)
+
+
+def planned(sizes: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
+    """bytes, ends and shards: longest_first() with a row for each size."""
+    begins, where, ends = longest_first(sizes, counts, shards)
+    cut = lambda x: pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(x))
+    return pa.table([pa.array(sizes), cut(ends), cut(where)], ["bytes", "ends", "shards"])
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -82,13 +100,11 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     # written, so that all that follows counts and places the same groups
     groups = scratch.keep(rows.groupBy("own").agg(F.sum("size").alias("bytes")).withColumn("sub", F.pmod(F.xxhash64("own"), F.lit(PARTS)).cast("int")), "groups")
     parts = scratch.keep(groups.groupBy("bytes", "sub").agg(F.count("*").alias("n")), "parts")
-    found = parts.groupBy("bytes").agg(F.sum("n").alias("n")).toPandas().sort_values("bytes", ascending=False)  # a row for each size: see above
-    plan = longest_first(found["bytes"].to_numpy(np.int64), found["n"].to_numpy(np.int64), shards)
-    # of each size: where each of its shards' groups end in the order of their ranks
-    ends = [np.cumsum(own[own > 0]).tolist() for own in plan]
-    planned = spark.createDataFrame(pd.DataFrame({"bytes": found["bytes"], "ends": ends, "shards": [np.flatnonzero(own).tolist() for own in plan]}), "bytes long, ends array<long>, shards array<int>")
+    found = parts.groupBy("bytes").agg(F.sum("n").alias("n")).toArrow()  # a row for each size: see above
+    order = np.argsort(-found["bytes"].to_numpy(), kind="stable")
+    plan = planned(found["bytes"].to_numpy()[order], found["n"].to_numpy()[order], shards)
     before = Window.partitionBy("bytes").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
-    starts = parts.select("bytes", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).join(planned, "bytes")
+    starts = parts.select("bytes", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).join(spark.createDataFrame(plan), "bytes")
     rank = F.col("first") + F.row_number().over(Window.partitionBy("bytes", "sub").orderBy("own"))
     placed = groups.join(starts, ["bytes", "sub"]).withColumn("rank", rank)
     placed = placed.select("own", F.col("shards")[F.size(F.filter("ends", lambda e: e < F.col("rank")))].alias("shard"))

@@ -459,9 +459,13 @@ def test_longest_first_is_near_even(shards):
         counts = [rnd.choice([1, 2, 5, 30, 200]) for _ in sizes]
         if rnd.random() < 0.3:
             sizes, counts = [30_000, *sizes], [1, *counts]
-        plan = sharding.longest_first(np.array(sizes), np.array(counts), shards)
-        assert [int(own.sum()) for own in plan] == counts
-        loads = sum(own * size for own, size in zip(plan, sizes, strict=True)).tolist()
+        plan = sharding.planned(np.array(sizes), np.array(counts), shards).to_pylist()
+        assert [(r["bytes"], r["ends"][-1]) for r in plan] == list(zip(sizes, counts, strict=True))
+        loads = [0] * shards
+        for r in plan:
+            assert r["shards"] == sorted(set(r["shards"]))
+            for k, end, before in zip(r["shards"], r["ends"], [0, *r["ends"]], strict=False):
+                loads[k] += (end - before) * r["bytes"]
         assert loads == plain_loads([s for s, n in zip(sizes, counts, strict=True) for _ in range(n)], shards)
 
 
