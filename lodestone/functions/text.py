@@ -28,6 +28,18 @@ def keywords(text: str | Column, least: int = 4, most: int = 8, stop: list[str]
     return F.slice(F.array_distinct(long), 1, most)
 
 
+def any_term(text: str | Column, least: int, most: int, word: str = " OR ") -> Column:
+    """A query for any of a text's terms: distinct, of at least ``least`` characters, the first ``most`` of them; words that steer a search are left out. Null and blank texts give an empty query."""
+    terms = F.filter(tokens(text), lambda w: (F.length(w) >= least) & ~w.isin("and", "or", "not", "near"))
+    return F.coalesce(F.array_join(F.slice(F.array_distinct(terms), 1, most), word), F.lit(""))
+
+
+def labelled(text: str | Column, fields: dict[str, list[str]]) -> Column:
+    """A struct of the named fields of a text: each the first group of its first pattern that finds one, trimmed; null where none does or it is blank."""
+    found = lambda p: F.nullif(F.trim(F.regexp_extract(_col(text), p, 1)), F.lit(""))
+    return F.struct(*[F.coalesce(*map(found, patterns)).alias(name) for name, patterns in fields.items()])
+
+
 def first_year(text: str | Column, low: int = 1900, high: int = 2099) -> Column:
     """The first number of four digits between the bounds, null if there is none."""
     years = F.transform(F.regexp_extract_all(_col(text), F.lit(r"\b([0-9]{4})\b"), 1), lambda y: y.cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import patterns, ranking, relations
 from lodestone.plans.registry import query
-from lodestone.sources.tables import feed_items, headed, table
+from lodestone.sources.tables import about, feed_items, headed, table
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
@@ -217,6 +217,38 @@ def feed_reader(spark: SparkSession, d: str) -> DataFrame:
     return feed_items(feeds).filter("summary IS NULL").select("doc_id", "pos", "title", "link")
 
 
+@query("""
+    SELECT doc_id, source AS title, array_to_string(list_filter([lang, 'R & D ' || source], lambda x: x <> ''), ', ') AS categories FROM documents WHERE contains(lower(source || chr(10) || lang || chr(10) || 'R & D ' || source), 'd src1') OR lang = 'fr'
+""")
+def feed_about(spark: SparkSession, d: str) -> DataFrame:
+    """Items of feeds with their categories, those that are about one of a few words."""
+    tags = [F.lit("<category>"), F.col("lang"), F.lit('</category><category domain="x"><![CDATA[R & D '), F.col("source"), F.lit("]]></category><category> </category>")]
+    xml = F.concat(F.lit("<rss><item><title>"), F.col("source"), F.lit("</title>"), *tags, F.lit("</item></rss>"))
+    items = feed_items(docs_of(spark, d).select("doc_id", xml.alias("xml")))
+    return about(items, ["D src1", "FR"], "title", "categories").select("doc_id", "title", F.array_join("categories", ", ").alias("categories"))
+
+
+@query("""
+    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 5 AND NOT list_contains(['and', 'or', 'not', 'near'], w)) AS w FROM documents),
+    p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), g AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY ALL), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 12)
+    SELECT doc_id, coalesce(asked, '') AS asked FROM documents LEFT JOIN (SELECT doc_id, string_agg(x, ' OR ' ORDER BY i) AS asked FROM f GROUP BY doc_id) USING (doc_id)
+""")
+def any_term_queries(spark: SparkSession, d: str) -> DataFrame:
+    """A query for any of a document's first twelve longer terms."""
+    return docs_of(spark, d).select("doc_id", tx.any_term("text", 5, 12).alias("asked"))
+
+
+@query("""
+    SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS number, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderstatus = 'F' THEN 'Clerk ' || o_custkey % 7 WHEN o_orderstatus = 'O' THEN 'desk ' || o_custkey % 5 END AS who FROM orders
+""")
+def labelled_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Number, day and signatory of a note, each by its patterns in turn."""
+    who = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("\nSigned: Clerk "), (F.col("o_custkey") % 7).cast("string"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("\nby the desk "), (F.col("o_custkey") % 5).cast("string"))).otherwise("\nSigned: ")
+    note = F.concat(F.lit("ORDER No. "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.date_format("o_orderdate", "yyyy-MM-dd"), who, F.lit("\n"))
+    fields = {"number": [r"(?i)order no\.? ?([0-9]+)"], "day": [r"dated ([0-9-]{10})", r"of ([0-9]{4}-[0-9]{2}-[0-9]{2})"], "who": [r"Signed: ([^\n]*)", r"by the (desk [0-9]+)"]}
+    return table(spark, d, "orders").select("o_orderkey", tx.labelled(note, fields).alias("f")).select("o_orderkey", "f.*")
+
+
 _FOUND = "list_concat(regexp_extract_all(text, '[0-9]{2,}'), regexp_extract_all(text, '[a-z]+ing'))"
 
 

@@ -93,6 +93,18 @@ def edge_lists(spark: SparkSession, d: str) -> DataFrame:
     return edges.agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_suppkey")), lambda x: x.cast("string")), " ").alias("neighbours"))
 
 
+@query("""
+    WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), n AS (SELECT l_partkey, string_agg(s_name, ', ' ORDER BY s_name) AS suppliers, count(*) AS n FROM e JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey)
+    SELECT p_partkey AS part, p_name AS name, p_type AS kind, p_size >= 25 AS large, coalesce(n, 0) AS n, coalesce(suppliers, '') AS suppliers FROM part LEFT JOIN n ON l_partkey = p_partkey
+""")
+def node_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with its own fields and its neighbours by name; nodes without edges too."""
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    names = edges.join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey").groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ", ").alias("suppliers"), F.count("*").alias("n"))
+    nodes = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size").join(names, "p_partkey", "left")
+    return nodes.select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), (F.col("p_size") >= 25).alias("large"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("suppliers", F.lit("")).alias("suppliers"))
+
+
 @query("""
     SELECT doc_id, array_to_string(list_filter([substr(text, 1, 40), substr(source, 1, 3), CASE WHEN lang <> '' THEN 'lang ' || lang END], lambda x: x IS NOT NULL AND trim(x) <> ''), ' ') AS asked,
            array_to_string(list_filter(['tion', 'with', 'that', 'from', 'this', 'ment', 'und', 'der', 'les', 'para'], lambda t: contains(lower(text), t))[1:8], ' ') AS terms FROM documents

@@ -31,19 +31,36 @@ def unescaped(xml: Column) -> Column:
 
 
 def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """The items of RSS feeds: the feed's other columns, pos (from 0), title, link, published, summary.
+    """The items of RSS feeds: the feed's other columns, pos (from 0), title, link, published, summary, categories.
 
-    Null and empty fields of an item become null; a feed without items has no row.
+    Null and empty fields of an item become null, categories are a list without blanks; a feed without items has no row.
     """
 
-    def field(name: str) -> Column:
-        raw = F.regexp_extract(F.col("item"), rf"(?s)<{name}(?:\s[^>]*)?>(<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 2)
-        quoted = F.col("item").rlike(rf"<{name}(?:\s[^>]*)?><!\[CDATA\[")
+    def value(tag: Column, name: str) -> Column:
+        raw = F.regexp_extract(tag, rf"(?s)<{name}(?:\s[^>]*)?>(<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 2)
+        quoted = tag.rlike(rf"<{name}(?:\s[^>]*)?><!\[CDATA\[")
         return F.nullif(F.trim(F.when(quoted, raw).otherwise(unescaped(raw))), F.lit(""))
 
+    def field(name: str) -> Column:
+        return value(F.col("item"), name)
+
+    every = F.regexp_extract_all(F.col("item"), F.lit(r"(?s)<category(?:\s[^>]*)?>.*?</category>"), 0)
     others = [c for c in feeds.columns if c != xml]
     items = feeds.select(*others, F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item[\s>].*?</item>"), 0)).alias("pos", "item"))
-    return items.select(*others, "pos", field("title").alias("title"), field("link").alias("link"), field("pubDate").alias("published"), field("description").alias("summary"))
+    named = [field(tag).alias(name) for tag, name in (("title", "title"), ("link", "link"), ("pubDate", "published"), ("description", "summary"))]
+    return items.select(*others, "pos", *named, F.array_compact(F.transform(every, lambda x: value(x, "category"))).alias("categories"))
+
+
+def about(items: DataFrame, words: list[str], *columns: str) -> DataFrame:
+    """Rows of which one of the columns (text, or a list of texts) holds one of the words, in upper or lower case; all rows if there are no words."""
+    if not words:
+        return items
+    kinds = dict(items.dtypes)
+    whole = F.lower(F.concat_ws("\n", *[F.array_join(c, "\n") if kinds[c].startswith("array") else F.col(c) for c in columns]))
+    found = F.lit(False)
+    for w in words:
+        found = found | whole.contains(w.lower())
+    return items.filter(found)
 
 
 def headed(text: str | Column, *names: str) -> Column:
