@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every twentieth one by integer inner product; see topk.top_k(). Vectors that are null or hold a null or a value that is not finite take no part."""
     from lodestone.llm.topk import top_k
 
     x = F.col("embedding").cast("array<double>")
@@ -31,12 +32,14 @@ def held_out(folds: int) -> Column:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals for every context limit; see counts.token_counts(). Null texts have no tokens."""
     from lodestone.llm.counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from three folds of four; see language.predict(). A null text, or one without a letter, is und."""
     from lodestone.llm.language import identify, train
 
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(4))
@@ -45,12 +48,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document; see neardup.near_duplicates(). Null texts are like no other; long ones are compared whole."""
     from lodestone.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of even bytes, equal texts together; see sharding.assign(). A null text has 16 bytes; a text of any length is one document."""
     from lodestone.llm.sharding import assign
 
     out = assign(table(spark, sf_dir, "documents"), shards=40)
@@ -58,12 +63,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens; see packing.pack(). A null text is its end token; only longer documents are cut."""
     from lodestone.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=2048, end_id=0)
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by word_bpe_49k.json and decoded; see bpe.encode_decode(). A null text is an empty one."""
     from lodestone.llm.bpe import encode_decode
 
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -72,6 +79,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays; see dedup.exact_duplicates(). A null text is an empty one; long ones are compared whole."""
     from lodestone.llm.dedup import exact_duplicates
 
     out = exact_duplicates(table(spark, sf_dir, "documents"))
@@ -79,12 +87,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by the lattice of pieces, learned from six folds of seven; see lattice.score(). A null text is its end."""
     from lodestone.llm.lattice import score
 
     return score(table(spark, sf_dir, "documents").withColumn("held_out", held_out(7)), public_tokenizers.path(WORD_BPE))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each text loses to texts of smaller ids; see suffixes.remove_repeats(). A null text is an empty one."""
     from lodestone.llm.suffixes import remove_repeats
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
