@@ -33,17 +33,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for A-Z's case, the one with the largest doc_id stays."""
+    """Of texts equal but for A-Z's case, the one with the largest doc_id stays.
+
+    Null and empty texts are equal, so one row of them stays; a null doc_id is the smallest, of rows with one doc_id and
+    text one stays. Texts of any length are compared whole.
+    """
     return dedup.deduplicate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (similarity 0.8 of shingles of five words), the one with the smallest doc_id stays."""
+    """Of near-duplicates (similarity 0.8 of shingles of five words), the one with the smallest doc_id stays.
+
+    Texts without a word, null ones too, are like no other and stay; a null doc_id is larger than any. Texts of any length
+    are compared whole; texts of fewer than five words are one shingle.
+    """
     return neardup.deduplicate(docs, least=0.8)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes and more that a document with a smaller doc_id has are cut out; n_chars follows. No document goes."""
+    """Passages of 50 bytes and more that a document with a smaller doc_id has are cut out; n_chars follows. No document goes.
+
+    A null text becomes an empty one; a document without a doc_id loses nothing and takes nothing from others.
+    """
     return suffixes.without_repeats(docs)
 
 
