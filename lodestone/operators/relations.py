@@ -95,7 +95,7 @@ def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
 
 def append_counted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows to append (of which no key is there yet; of incoming rows with the same keys one) and one row of counts: found, inserted, skipped."""
-    fresh = new_rows(incoming.dropDuplicates(keys), existing, keys)
+    fresh = written(new_rows(incoming.dropDuplicates(keys), existing, keys), new_folder(incoming.sparkSession, "fresh"))
     counts = incoming.agg(F.count("*").alias("found")).crossJoin(fresh.agg(F.count("*").alias("inserted")))  # a row each
     return fresh, counts.withColumn("skipped", F.col("found") - F.col("inserted"))
 

@@ -76,7 +76,7 @@ class Stored:
         """Write the touched buckets anew and make that the state."""
         name = uuid.uuid4().hex
         if touched:
-            rows.select(*schema.names, "_bucket").repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
+            rows.select(*schema.names, "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
         full = set(self.versions.names(f"data/{name}"))  # a bucket that lost all its rows has no folder
         at = {b: v for b, v in state.get("at", {}).items() if b not in set(touched)} | {b: name for b in touched if f"_bucket={b}" in full}
         batches = state.get("batches", {}) | ({batch[0]: batch[1]} if batch else {})
@@ -92,7 +92,8 @@ class Stored:
         touched = [str(r[0]) for r in came.select("_bucket").distinct().collect()]  # as many as there are buckets at most
         there = self._rows(state, touched) if state else self.spark.createDataFrame([], schema).withColumn("_bucket", F.lit(0))
         there = there.select(*[(F.col(f.name) if f.name in there.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema], "_bucket", F.lit(None).cast(came.schema["_order"].dataType).alias("_order"), F.lit(False).alias("_came"))
-        every = there.unionByName(came.withColumn("_came", F.lit(True)))
+        # dealt by bucket, which groups by key and writes buckets without a further shuffle
+        every = there.unionByName(came.withColumn("_came", F.lit(True))).repartition("_bucket")
         row = F.struct(F.lit(True).alias("_there"), *[c for c in columns_ if c != self.key])
         old, new = F.first(F.when(~F.col("_came"), row), ignorenulls=True), (F.min_by if combine == "insert" else F.max_by)(F.when(F.col("_came"), row), F.when(F.col("_came"), F.struct("_order", row)))
         both = every.groupBy(self.key, "_bucket").agg(old.alias("old"), new.alias("new"), F.count_if("_came").alias("times"))
