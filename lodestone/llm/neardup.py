@@ -10,7 +10,8 @@ its buckets: an original meets its copies in more of them than copies meet each
 group of copies are linked by one comparison each.  Then the texts of a bucket that are still under
 different labels are held against each other, in blocks: sizes and parities (one bit for each of many
 classes of labels) rule out nearly all pairs that are not alike, and none that is, and what is left is
-aligned.  This is the same for buckets of every size.  Aligning compares the two shingle sequences
+aligned.  Blocks of a bucket are as many as the square of its rows, so the texts of a bucket with thousands under
+different labels meet by their rarest labelled shingles instead, one of which alike texts share.  Aligning compares the two shingle sequences
 inside a band as wide as the similarity allows.
 
 Texts of few shingles, which may be alike and share no sketch, share their buckets by their rarest
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import scratch
-from lodestone.llm.arrow import slices
+from lodestone.llm.arrow import lists, slices
 
 #: Words of a shingle, shingles of a sketch, sketches of a text.
 WORDS, SAMPLE, SKETCHES = 5, 5, 32
 #: Labelled shingles of a text up to which all pairs that may be alike are compared, whether they share a sketch or not.
 SHORT = 64
+#: Rows of a bucket outside its largest label from which on they meet by their rarest labelled shingles instead.
+CROWD = 2048
 #: Rows of a block in which pairs of a bucket are sought, about, bits of a text's parities, and pairs whose parities are held against each other at once.
 BLOCK, PARITY, AT_ONCE = 1024, 1024, 1 << 16
 #: Bytes of text that are hashed at once; bytes of labels that an aligning task remembers.
@@ -233,7 +236,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("centre")], ["a", "b"]).filter(like)
 
     both = pairs.join(texts.hint("merge"), "row").join(other.hint("merge"), "centre")
-    return both.select("row", "centre", "text", "to_text").mapInArrow(align, "a long, b long")
+    return scratch.arrow(both.select("row", "centre", "text", "to_text"), align, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -258,7 +261,7 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     """
     given = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     most = int(SHORT / least) + 1  # a text of at most SHORT labels is like none of more than that
-    rows = given.mapInArrow(lambda batches: _prepare(batches, most), "row long, doc_id long, text string, sig binary, size long, sketch array<long>, parity binary, label array<long>")
+    rows = scratch.arrow(given, lambda batches: _prepare(batches, most), "row long, doc_id long, text string, sig binary, size long, sketch array<long>, parity binary, label array<long>")
     rows = scratch.keep(rows.drop("text") if written else rows, "sketches", "zstd")
     same = scratch.keep(rows.groupBy("sig").agg(F.min("row").alias("rep")), "same")
     members = _members(rows.join(same.select(F.col("rep").alias("row")), "row", "left_semi"), least)
@@ -266,8 +269,10 @@ def classes(numbered: DataFrame, least: float = 0.8, written: bool = False) -> D
     tested = scratch.keep(_stars(members), "stars")
     stars = scratch.keep(verify(tested, texts, least), "links")
     labels = scratch.keep(_labels(stars), "labels")
-    pairs = _across(_labelled(members.select("sketch", "row"), labels), rows.select("row", "size", "parity"), least)
+    own = scratch.keep(_labelled(members.select("sketch", "row"), labels), "labelled")
+    pairs = _across(_spread(own, texts, least), rows.select("row", "size", "parity"), least)
     pairs = scratch.keep(pairs.join(tested, ["row", "centre"], "left_anti"), "pairs")
+    scratch.drop(own)
     links = scratch.keep(stars.unionByName(verify(pairs, texts, least)), "links")
     scratch.drop(members, texts, tested, stars, pairs)
     # links between labels: most links are inside one
@@ -331,12 +336,45 @@ def _rarest(labels: DataFrame, least: float) -> DataFrame:
     return held.select("row", F.explode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).select("row", F.col("col.sketch").alias("sketch"))
 
 
+def _spread(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``own`` (sketch, row, label) with the rows of crowded buckets dealt to buckets of their rarest labelled shingles.
+
+    A bucket is crowded if it has more than CROWD rows outside its largest label.  Two of its rows that are alike share
+    one of their rarest labelled shingles among those of all crowded buckets' rows; see _rarest().  There are as many of
+    these a row as its size allows, however large the bucket was.
+    """
+    counts = own.groupBy("sketch", "label").agg(F.count("*").alias("n")).groupBy("sketch").agg((F.sum("n") - F.max("n")).alias("outer"))
+    crowded = scratch.keep(counts.filter(F.col("outer") > CROWD).select("sketch"), "crowded")
+    if crowded.isEmpty():
+        return own
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                label, sizes = labelled([words_of(t or "") for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes), lists(label.view(np.int64), sizes)], ["row", "size", "label"])
+
+    held = own.join(crowded.hint("merge"), "sketch", "left_semi").select("row", "label").distinct()
+    spelt = scratch.arrow(texts.join(held.select("row").hint("merge"), "row", "left_semi").select("row", "text"), spell, "row long, size long, label array<long>")
+    rare = _rarest(spelt.select("row", "size", F.explode("label").alias("sketch")), least)
+    # written: the buckets are counted, then met
+    dealt = scratch.keep(rare.join(held.hint("merge"), "row").select("sketch", "row", "label"), "spread")
+    return own.join(crowded.hint("merge"), "sketch", "left_anti").unionByName(dealt)
+
+
 def _across(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (row, centre) of a bucket's rows under different labels, without those whose sizes or parities show that they aren't ``least`` alike.
 
-    ``own`` has sketch, row and label, ``texts`` row, size and parity.  Every row outside a
-    bucket's largest label meets all rows of the bucket, block by block; a block is a part of
-    the former and a part of the latter, of BLOCK rows or so each.
+    ``own`` has sketch, row and label, ``texts`` row, size and parity.
+    """
+    dealt = _blocks(own, texts).repartition("block").sortWithinPartitions("block", "sketch", "i", "j", "probe")
+    return scratch.arrow(dealt, lambda batches: _meet(batches, least), "row long, centre long").distinct()
+
+
+def _blocks(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of the buckets, dealt to blocks: every row outside a bucket's largest label meets all rows of the bucket.
+
+    A block is a part of the former and a part of the latter, of BLOCK rows or so each.
     """
     counts = own.groupBy("sketch", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("sketch").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
@@ -347,8 +385,9 @@ def _across(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     places = F.when(F.col("label") == F.col("main"), every).otherwise(F.concat(probe, every))
     dealt = own.join(main, "sketch").join(texts.hint("merge"), "row").select("sketch", "row", "label", "size", "parity", F.explode(places).alias("at"))
     dealt = dealt.select(F.xxhash64("sketch", "at.i", "at.j").alias("block"), "sketch", "at.i", "at.j", "at.probe", "row", "label", "size", "parity")
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "sketch", "i", "j", "probe")
-    return dealt.mapInArrow(lambda batches: _meet(batches, least), "row long, centre long").distinct()
+    return dealt
+
+
 
 
 def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
