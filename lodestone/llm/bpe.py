@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import scratch
 from lodestone.llm.arrow import slices
 
 NONE = np.int64(1 << 40)
@@ -193,7 +194,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([tool.decode(e) for e in each], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return scratch.arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids array<int>, decoded string")
 
 
 def lengths(docs: DataFrame, path: str) -> DataFrame:
@@ -206,4 +207,4 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
                 coded = tool.encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(c) // 4 for c in coded], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long")
+    return scratch.arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long")

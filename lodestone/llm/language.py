@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import scratch
 from lodestone.llm.arrow import slices
 
 #: Hash values of a trigram.
@@ -143,7 +144,7 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], ["lang", "feature", "n"])
 
     rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    sums = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
+    sums = scratch.arrow(rows, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in sums})
     counts, seen = np.zeros((len(languages), FEATURES)), np.zeros(len(languages))
     for r in sums:
