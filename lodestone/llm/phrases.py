@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import scratch
 
 #: Bytes of text of one shard, or one longer text.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Bits of the sieve (8 MB), a power of two; the driver holds it, and every worker.
 SIEVE = 1 << 26
 #: Bits of a hash (fewer take less room on their way), and where in them the two places in the sieve begin.
