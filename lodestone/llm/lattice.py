@@ -208,7 +208,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), kinds, strict=True)], ["chunk", "bucket", "doc_id", "held_out", "sizes", "numbers", "words", "counts"])
 
-    chunks = scratch.keep(rows.mapInArrow(count, CHUNKS), "chunks")
+    chunks = scratch.keep(scratch.arrow(rows, count, CHUNKS), "chunks")
     sent = chunks.filter("bucket >= 0").select("chunk", "bucket", "words", "counts")
 
     def merge(group: pa.Table) -> pa.Table:
