@@ -93,6 +93,12 @@ def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def parts_of(rows: DataFrame, text: str, most: int = 16 << 20) -> int:
+    """Into how many parts ``rows`` have to be dealt for ``most`` bytes of ``text`` a part (a pass over the texts counts them), so that a part is no larger in a larger table; one for each core at least."""
+    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(-(-total // most), rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def append_counted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows to append (of which no key is there yet; of incoming rows with the same keys one) and one row of counts: found, inserted, skipped."""
     fresh = written(new_rows(incoming.dropDuplicates(keys), existing, keys), new_folder(incoming.sparkSession, "fresh"))
