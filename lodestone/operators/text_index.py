@@ -20,11 +20,13 @@ from pyspark.sql.types import StructType
 
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import ranked
-from lodestone.operators.relations import small
+from lodestone.operators.relations import parts_of
 from lodestone.sources.versions import Versions, seen
 
 #: Parts into which a term's postings are dealt, so that no task gets all documents that have a common term.
 PARTS = 32
+#: Postings of a part of a segment or of a shuffle, at most about; documents that are hidden by a broadcast, at most.
+POSTINGS, HIDDEN = 2_500_000, 100_000
 
 
 class TextIndex:
@@ -39,13 +41,25 @@ class TextIndex:
         schema = StructType.fromJson(state["schema"])
         parts = [self.spark.read.schema(schema).parquet(f"{self.path}/data/{s['name']}").withColumn("_segment", F.lit(s["number"])) for s in state["segments"]]
         rows = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema).withColumn("_segment", F.lit(0))
-        return rows if every else self._visible(rows, state)
+        return rows if every else self._visible(rows, state, self._size(state))
 
-    def _visible(self, rows: DataFrame, state: dict) -> DataFrame:
+    @staticmethod
+    def _size(state: dict, *of: str) -> int:
+        return sum(s[x] for s in state["segments"] for x in of or ("docs", "tokens"))
+
+    def _parts(self, rows: int) -> int:
+        return max(-(-rows // POSTINGS), self.spark.sparkContext.defaultParallelism)
+
+    def _visible(self, rows: DataFrame, state: dict, size: int) -> DataFrame:
+        """``rows`` (no more than ``size``) of the segments without those that are hidden."""
         if state["gone"]:
             lists = [self.spark.read.parquet(f"{self.path}/data/{g['name']}").select(F.col(self.key).alias("_gone"), F.lit(g["before"]).alias("_before")) for g in state["gone"]]
             gone = reduce(DataFrame.unionByName, lists)
-            rows = rows.join(small(gone), (F.col(self.key) == F.col("_gone")) & (F.col("_segment") < F.col("_before")), "left_anti")
+            if sum(g["docs"] for g in state["gone"]) <= HIDDEN and gone.limit(HIDDEN + 1).count() <= HIDDEN:
+                gone = F.broadcast(gone)
+            else:
+                rows, gone = rows.repartition(self._parts(size), self.key), gone.repartition(self._parts(size), "_gone")
+            rows = rows.join(gone, (F.col(self.key) == F.col("_gone")) & (F.col("_segment") < F.col("_before")), "left_anti")
         return rows.drop("_segment")
 
     def _state(self) -> tuple[int, dict]:
@@ -55,30 +69,33 @@ class TextIndex:
     def documents(self, state: dict | None = None) -> DataFrame:
         """Key and n (terms) of every document that is there."""
         state = state or self._state()[1]
-        return self._visible(self._postings(state, every=True).filter("term = ''"), state).select(self.key, "n")
+        return self._visible(self._postings(state, every=True).filter("term = ''"), state, self._size(state, "docs")).select(self.key, "n")
 
     def sizes(self) -> tuple[int, int]:
         """How many documents and tokens are there, from the state alone."""
         _, state = self._state()
         return tuple(sum(s[x] for s in state["segments"]) - sum(g[x] for g in state["gone"]) for x in ("docs", "tokens"))
 
-    def _segment(self, docs: DataFrame, number: int) -> tuple[dict, StructType]:
-        """Tokenise ``docs``, one row a key, and write them as a segment."""
-        watch, name = Observation(), uuid.uuid4().hex
+    def _segment(self, docs: DataFrame, number: int, there: DataFrame | None = None) -> tuple[dict, StructType]:
+        """Tokenise ``docs``, one row a key, without those that are there, and write them as a segment.
+
+        Parts are of so many bytes of text, so no task holds more in a larger table; a key's postings are counted where its text is.
+        """
+        watch, name, parts = Observation(), uuid.uuid4().hex, parts_of(docs, self.text)
+        docs = docs.filter(F.col(self.key).isNotNull()).select(self.key, self.text).repartition(parts, self.key).groupBy(self.key).agg(F.min(self.text).alias(self.text))
+        if there is not None:
+            docs = docs.join(there.repartition(parts, self.key), self.key, "left_anti")
         words = docs.select(self.key, F.coalesce(tokens(self.text), F.array().cast("array<string>")).alias("words")).withColumn("n", F.size("words"))
         words = words.observe(watch, F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
         rows = words.select(self.key, "n", F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).groupBy("term", self.key, "n").agg(F.count("*").alias("tf"))
         part = F.pmod(F.xxhash64(self.key), F.lit(PARTS))
-        rows.repartition("term", part).sortWithinPartitions("term", self.key).write.parquet(f"{self.path}/data/{name}")
+        rows.repartition(parts, "term", part).sortWithinPartitions("term", self.key).write.parquet(f"{self.path}/data/{name}")
         return {"name": name, "number": number, **seen(watch, "docs", "tokens")}, rows.schema
 
     def add(self, docs: DataFrame) -> int:
         """Index the documents whose key isn't there; says how many came in."""
         number, state = self._state()
-        fresh = docs.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.min(self.text).alias(self.text))
-        if state["segments"]:
-            fresh = fresh.join(self.documents(state).select(self.key), self.key, "left_anti")
-        segment, schema = self._segment(fresh, state["next"])
+        segment, schema = self._segment(docs, state["next"], self.documents(state).select(self.key) if state["segments"] else None)
         if segment["docs"]:
             self.versions.commit(number + 1, state | {"segments": [*state["segments"], segment], "schema": schema.jsonValue(), "next": state["next"] + 1})
         return segment["docs"]
@@ -107,13 +124,13 @@ class TextIndex:
         rows, watch, name = self._postings(state | {"segments": chosen}), Observation(), uuid.uuid4().hex
         every = F.when(F.col("term") == "", F.col("n"))
         part = F.pmod(F.xxhash64(self.key), F.lit(PARTS))
-        rows.observe(watch, F.count(every).alias("docs"), F.coalesce(F.sum(every), F.lit(0)).alias("tokens")).repartition("term", part).sortWithinPartitions("term", self.key).write.parquet(f"{self.path}/data/{name}")
+        rows.observe(watch, F.count(every).alias("docs"), F.coalesce(F.sum(every), F.lit(0)).alias("tokens")).repartition(self._parts(self._size({"segments": chosen})), "term", part).sortWithinPartitions("term", self.key).write.parquet(f"{self.path}/data/{name}")
         one = {"name": name, "number": state["next"], **seen(watch, "docs", "tokens")}
         # a list still hides what lies in the other segments; its numbers are those of what it still hides
         gone = []
         for g in state["gone"] if rest else []:
             before = self._postings(state | {"segments": rest}, every=True).filter((F.col("term") == "") & (F.col("_segment") < g["before"]))
-            left = self._visible(before, state | {"gone": [x for x in state["gone"] if x["before"] < g["before"]]}).select(self.key, "n")
+            left = self._visible(before, state | {"gone": [x for x in state["gone"] if x["before"] < g["before"]]}, self._size({"segments": rest}, "docs")).select(self.key, "n")
             hidden = left.join(self.spark.read.parquet(f"{self.path}/data/{g['name']}").select(self.key), self.key, "left_semi").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
             gone.append(g | hidden.asDict())
         self.versions.commit(number + 1, state | {"segments": [*rest, one], "gone": [g for g in gone if g["docs"]], "next": state["next"] + 1})
@@ -122,7 +139,7 @@ class TextIndex:
     def rebuild(self, docs: DataFrame) -> int:
         """Index ``docs`` anew, in place of all that is there; until that is done, searches find what was there."""
         number, state = self._state()
-        segment, schema = self._segment(docs.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.min(self.text).alias(self.text)), state["next"])
+        segment, schema = self._segment(docs, state["next"])
         self.versions.commit(number + 1, {"segments": [segment], "gone": [], "schema": schema.jsonValue(), "next": state["next"] + 1})
         return segment["docs"]
 

@@ -205,3 +205,18 @@ def test_rows_come_in_one_by_one(spark, case):
     for k in keys:
         held = [r[k] for r in got if r[k] is not None]
         assert len(held) == len(set(held))
+
+
+def test_parts_of_an_index_have_so_many_bytes(spark, tmp_path, monkeypatch):
+    """100 MB of text in a session of four shuffle partitions: more parts than these; many hidden documents, too many for a broadcast, are hidden all the same."""
+    from lodestone.operators import text_index
+
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.concat(F.repeat(F.lit("x"), F.lit(1000)), F.lit(" ")), F.lit(1000)), F.concat(F.lit("end w"), (F.col("id") % 7).cast("string"))).alias("text"))
+    index = TextIndex(spark, f"{tmp_path}/i")
+    assert index.add(docs) == 100
+    name = index._state()[1]["segments"][0]["name"]
+    assert sum(f.name.startswith("part-") for f in (tmp_path / "i" / "data" / name).iterdir()) > 4
+    monkeypatch.setattr(text_index, "HIDDEN", 3, raising=False)
+    assert index.remove(docs.filter("doc_id % 2 = 0")) == 50 and index.add(docs.filter("doc_id = 4")) == 1
+    assert {r.doc_id for r in index.search(["w3", "w4"], 100).collect()} == {i for i in range(100) if (i % 2 or i == 4) and i % 7 in (3, 4)}
+    assert index.documents().count() == 51 and index.merge() == 2 and index.documents().count() == 51 and index.sizes()[0] == 51
