@@ -72,13 +72,28 @@ def expand_graph(starts: DataFrame, edges: DataFrame, kinds: list[str]) -> DataF
     starts: query, pos, node. edges: src, kind, pos, dst. Returns query, node
     and place: the starts first, then their neighbours by start, kind (in the given order) and pos; a node stands
     where it comes first. Nodes without edges stay.
+
+    The neighbours of a query with one start have the places that they have among the start's own, so those are
+    numbered once for each node, and what the queries find isn't shuffled; only queries with several starts merge theirs.
     """
+    spark = starts.sparkSession
+    number = F.count("*").over(Window.partitionBy("query"))
+    starts = written(starts.select("query", "node", F.col("pos").cast("long").alias("pos")).withColumn("alone", number == 1), new_folder(spark, "starts"))
     order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    own = starts.select("query", "node", F.struct(F.lit(0).alias("step"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("at"))
-    near = starts.select("query", F.col("node").alias("src"), F.col("pos").alias("from")).join(edges.filter(F.col("kind").isin(kinds)), "src")
-    near = near.select("query", F.col("dst").alias("node"), F.struct(F.lit(1).alias("step"), F.col("from").cast("long").alias("a"), order.cast("long").alias("b"), F.col("pos").cast("long").alias("c")).alias("at"))
-    found = own.unionByName(near).groupBy("query", "node").agg(F.min("at").alias("at"))
-    return found.select("query", "node", F.row_number().over(Window.partitionBy("query").orderBy("at", "node")).alias("place"))
+    edges = edges.filter(F.col("kind").isin(kinds)).select("src", "dst", order.cast("long").alias("b"), F.col("pos").cast("long").alias("c"))
+    alone, several = starts.filter("alone"), starts.filter("NOT alone")
+    own = edges.filter(~F.col("dst").eqNullSafe(F.col("src"))).withColumn("first", F.row_number().over(Window.partitionBy("src", "dst").orderBy("b", "c"))).filter("first = 1")
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("b", "c", "dst")) + 1)
+    found = alone.select("query", "node", F.lit(1).alias("place"))
+    found = found.unionByName(alone.join(own.select("src", "dst", "place"), F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), "place"))
+    if several.isEmpty():
+        return found
+    zero = F.lit(0).cast("long")
+    stay = several.select("query", "node", F.struct(F.lit(0).alias("step"), F.col("pos").alias("a"), zero.alias("b"), zero.alias("c")).alias("at"))
+    near = several.select("query", F.col("node").alias("src"), F.col("pos").alias("a")).join(edges, "src")
+    near = near.select("query", F.col("dst").alias("node"), F.struct(F.lit(1).alias("step"), "a", "b", "c").alias("at"))
+    merged = stay.unionByName(near).repartition("query").groupBy("query", "node").agg(F.min("at").alias("at"))
+    return found.unionByName(merged.select("query", "node", F.row_number().over(Window.partitionBy("query").orderBy("at", "node")).alias("place")))
 
 
 def with_fallback(rows: DataFrame, group: str, keep: str) -> DataFrame:

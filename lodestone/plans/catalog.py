@@ -205,7 +205,8 @@ def section_filter_fallback(spark: SparkSession, d: str) -> DataFrame:
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
     """From every order along the typed edges of parts to suppliers; a customer's number stands for the part that it asks about."""
     starts = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), F.lit(0).alias("pos"), F.col("o_custkey").alias("node"))
-    edges = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("kind"), (F.col("l_suppkey") + 1_000_000_000_000).alias("dst")).agg(F.min("l_orderkey").alias("pos"))
+    items = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("kind"), (F.col("l_suppkey") + 1_000_000_000_000).alias("dst"), F.col("l_orderkey").alias("pos"))
+    edges = items.repartition("src").groupBy("src", "kind", "dst").agg(F.min("pos").alias("pos"))  # by src, as all that follows is
     return relations.expand_graph(starts, edges, ["R", "A"])
 
 

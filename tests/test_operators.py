@@ -1,3 +1,6 @@
+import random
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -117,3 +120,22 @@ def test_lookup_keeps_list_order_and_repeats(spark):
     ids = spark.createDataFrame([([3, 1, 3, 9],)], "ids array<long>")
     rows = spark.createDataFrame([(1, "a"), (3, "c")], "id long, v string")
     assert [(r.pos, r.v) for r in relations.in_order(ids, rows, "id").orderBy("pos").collect()] == [(0, "c"), (1, "a"), (2, "c")]
+
+
+def test_graph_against_a_loop_and_without_a_shuffle_of_what_is_found(spark):
+    """Queries with one start and with several, kinds that tie, nodes that lead to themselves, a null neighbour; one start a query needs no shuffle behind the join."""
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(12), rnd.choice("abz"), rnd.randrange(4), rnd.choice([*range(12), None])) for _ in range(150)]
+    starts = [(q, p, rnd.randrange(14)) for q in range(30) for p in range(1 if q < 15 else rnd.randrange(1, 4))]
+    want = []
+    for q in range(30):
+        at = {}
+        for _, p, node in (s for s in starts if s[0] == q):
+            for n, place in [(node, (0, p, 0, 0)), *((d, (1, p, "ba".index(k) + 1, c)) for s, k, c, d in edges if s == node and k in "ba")]:
+                at[n] = min(at.get(n, place), place)
+        want += [(q, n, i) for i, n in enumerate(sorted(at, key=lambda n: (at[n], n is not None, n or 0)), 1)]
+    frames = spark.createDataFrame(starts, "query int, pos int, node int"), spark.createDataFrame(edges, "src int, kind string, pos int, dst int")
+    got = relations.expand_graph(*frames, ["b", "a"])
+    assert sorted(map(str, got.select("query", "node", "place").collect())) == sorted(str(spark_row) for spark_row in [Row(query=q, node=n, place=p) for q, n, p in want])
+    plan = relations.expand_graph(frames[0].filter("query < 15"), frames[1], ["b", "a"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Exchange")
