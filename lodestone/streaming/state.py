@@ -32,6 +32,8 @@ class Expiring(StatefulProcessor):
 
     An entry that is put again before its end lives on; one put after it is another entry.  Rows may come late, in any
     order, as long as the watermark hasn't passed them: the entries are those that the rows make in the order of their time.
+    A key has one timer, for the first of its entries that ends: each timer costs calls to the state store and a look at all of the
+    key's entries.  One that is early, because its entry was put again, finds nothing over and sets the next one.
     """
 
     def __init__(self, ttl: int):
@@ -46,14 +48,12 @@ class Expiring(StatefulProcessor):
     def _keep(self, spans: list[tuple[int, int, int]]) -> None:
         if spans:
             self.spans.update(tuple([*map(int, x)] for x in zip(*spans, strict=True)))
+            self.handle.registerTimer(spans[0][1])  # spans don't meet, so the first one ends first
         else:
             self.spans.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        spans = merged([*self._held(), *((r.at, r.at + self.ttl, 1) for r in rows)])
-        self._keep(spans)
-        for _, end, _ in spans:
-            self.handle.registerTimer(end)
+        self._keep(merged([*self._held(), *((r.at, r.at + self.ttl, 1) for r in rows)]))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestone.sources.stored import Stored
@@ -81,3 +82,43 @@ def test_a_stream_loads_each_row_once(spark, tmp_path):
         state.load(stream, table, place, f"{tmp_path}/{place}").awaitTermination()
         rows = {r.k: r.v for r in table.read().collect()}
         assert set(rows) == {1, 2, 3} and rows[1] == "a" and rows[2] in "ab" and rows[3] == "c"
+
+
+def test_a_key_has_one_timer():
+    """However many entries a key has, one timer is set, that of the first end; when it is early, or some entries are over, the next one is."""
+
+    class Held:
+        def __init__(self):
+            self.timers, self.value = [], None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    held, kept = Held(), state.Expiring(10)
+    kept.init(held)
+    assert list(kept.handleInputRows(("a",), iter([Row(at=t) for t in (50, 0, 20, 5)]), held)) == [] and held.timers == [15]
+    list(kept.handleInputRows(("a",), iter([Row(at=12)]), held))  # 0 to 22 now, and with 20 to 30
+    held.now = 15
+    assert list(kept.handleExpiredTimer(("a",), held, None)) == [] and held.timers == [15, 30, 30]
+    held.now = 35
+    assert [(r.start, r.end, r.n) for r in kept.handleExpiredTimer(("a",), held, None)] == [(0, 30, 4)] and held.timers[-1] == 60
+    held.now = 60
+    assert [(r.start, r.end, r.n) for r in kept.handleExpiredTimer(("a",), held, None)] == [(50, 60, 1)] and held.value is None
