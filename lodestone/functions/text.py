@@ -214,12 +214,23 @@ def plain_name(name: str | Column) -> Column:
 
 def redacted_values(text: str | Column) -> Column:
     """What redact() replaces, as an array of structs: kind, pos (from 0, within its kind) and value."""
-    left, found = _col(text), []
-
-    def of(kind: str, values: Column) -> Column:
-        return F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("value")))
-
-    for kind, pattern in REDACTIONS:
-        found.append(of(kind, F.coalesce(F.regexp_extract_all(left, F.lit(pattern), 0), F.array().cast("array<string>"))))
-        left = F.regexp_replace(left, pattern, f"[{kind.upper()}]")
-    return F.concat(*found)
+    return _redacted(_col(text), REDACTIONS)
+
+
+def _redacted(left: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """The values of each rule; a text is searched once a rule, and replaced only where that found some."""
+    kind, pattern = rules[0]
+    found = F.coalesce(F.regexp_extract_all(left, F.lit(pattern), 0), F.array().cast("array<string>"))
+    if kind == "email":
+        found = F.when(F.contains(left, F.lit("@")), found).otherwise(F.array().cast("array<string>"))  # every match has one
+
+    def of(step: Column) -> Column:
+        """step: the text and what this rule found in it."""
+        own = F.transform(step["found"], lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("value")))
+        if len(rules) == 1:
+            return own
+        after = F.when(F.size(step["found"]) > 0, F.regexp_replace(step["left"], pattern, f"[{kind.upper()}]")).otherwise(step["left"])
+        return F.concat(own, _redacted(after, rules[1:]))
+
+    # a lambda over a list of one step holds its values, so that they are not computed again wherever they are named
+    return F.flatten(F.transform(F.array(F.struct(left.alias("left"), found.alias("found"))), of))

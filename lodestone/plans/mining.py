@@ -9,6 +9,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import patterns, ranking, relations
 from lodestone.plans.registry import query
 from lodestone.sources.tables import about, feed_items, headed, table
+from lodestone.sources.versions import new_folder, written
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
@@ -325,7 +326,7 @@ for _i, (_kind, _pattern) in enumerate(tx.REDACTIONS):
 """)
 def redaction_report(spark: SparkSession, d: str) -> DataFrame:
     """How many values of each kind are redacted, and the first two of them, masked."""
-    each = docs_of(spark, d).select("doc_id", F.inline(tx.redacted_values("text")))
+    each = written(docs_of(spark, d).select("doc_id", F.inline(tx.redacted_values("text"))), new_folder(spark, "values"))  # texts are searched once
     counts = each.groupBy("kind").agg(F.count("*").alias("n"))
     first = ranking.top_per_group(each, "kind", 2, F.col("doc_id"), F.col("pos")).select("kind", F.struct("rank", tx.masked("value").alias("value")).alias("s"))
     samples = first.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["value"]), " | ").alias("samples"))  # two at most

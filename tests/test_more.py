@@ -151,3 +151,16 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in"))
     got = run_to_table(windowed_counts(stream, "t", "1 hour", "1 hour", "k"), spark, "test").collect()
     assert sorted((str(r.start)[11:13], str(r.k), r.n) for r in got) == [("00", "a", 2), ("01", "b", 1)]
+
+
+def test_redacted_values_after_each_other_and_texts_searched_once(spark, small):
+    """Later patterns see what earlier ones left, as in redact(); the report reads what was found, not the texts again."""
+    from lodestone.plans.catalog import QUERIES
+
+    values = one(spark, tx.redacted_values(F.col("x")), "x +49 170 1234567 y a@1.2.3.4 10.0.0.1 1234 5678 9012 3456", "no @ here", "a@b.org_c@d.org")
+    assert [[(v.kind, v.pos, v.value) for v in row] for row in values] == [
+        [("email", 0, "a@1.2.3.4"), ("ip", 0, "10.0.0.1"), ("card", 0, "1234 5678 9012 3456"), ("phone", 0, "+49 170 1234567")],
+        [],
+        [("email", 0, "a@b.org"), ("email", 1, "_c@d.org")],
+    ]
+    assert not [f for f in QUERIES["redaction_report"](spark, small).inputFiles() if "documents.parquet" in f]
